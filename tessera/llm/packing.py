@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -93,6 +94,12 @@ class WordEncoder:
         return [b"".join(map(cache.__getitem__, parts)) for cache, parts in cuts]
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process, so that what it knows is kept."""
+    return WordEncoder(path)
+
+
 class BestFit:
     """Bounded-space online best fit.
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,12 @@ class PieceCounter:
         return [sum(map(self.known.__getitem__, p)) - over for p, over in parts]
 
 
+@cache
+def piece_counter(path: str) -> PieceCounter:
+    """One counter for all tasks of a worker process, so that what it knows is kept."""
+    return PieceCounter(path)
+
+
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", model: str = "piece_bpe_32k.model", batch: int = 256) -> DataFrame:
     """Adds the token count of the whole text as a long column.
 
