@@ -146,7 +146,7 @@ def _tokenized(df: DataFrame, text: str, tokenizer: str, length: int, keep_ids:
     kind = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * keep_ids)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path(tokenizer))
+        encoder = word_encoder(tokenizer_path(tokenizer))
         step = 4 * length
         for column in columns:
             out = []
