@@ -26,6 +26,18 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"{SPACE}+"))
 
 
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that fit, filtered where they are.
+
+    The optimizer would push a filter below the projections that made its
+    columns, and write their expressions out in it, inside of lambda functions
+    too, to be evaluated for each element.  It does not push a filter past a
+    condition that it takes to vary.
+    """
+    marked = df.withColumn("_fits", condition & (F.monotonically_increasing_id() >= 0))
+    return marked.where("_fits").drop("_fits")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, words
+from tessera.llm.common import filtered, words
 
 #: Frequent function words of the languages that the rules know.
 STOP_WORDS = {
@@ -88,7 +88,7 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     stop = sorted({w for ws_ in STOP_WORDS.values() for w in ws_})
     df = df.withColumn(ws, words(F.col(text)))
-    df = df.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]")))
+    df = df.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = repeated_words(df, ws, p["n_repeat_words"])
     return df.withColumns(
         {
@@ -131,4 +131,4 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, pr
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose text is kept, with their own columns only."""
     p = "_quality_"
-    return judge(df, text, rules, p).where(f"{p}kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    return filtered(judge(df, text, rules, p), F.col(f"{p}kept")).select(*[F.col(f"`{c}`") for c in df.columns])

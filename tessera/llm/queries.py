@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, html, mixing, neardup, packing, quality, tokens, urls
+from tessera.llm import chat, fingerprints, html, mixing, neardup, packing, quality, substrings, tokens, urls
 from tessera.llm.common import table
 
 
@@ -15,6 +15,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeats; n_removed counts the code points cut, copied_from names who keeps them."""
+    docs = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda c: F.char_length(F.coalesce(c, F.lit(""))).cast("long")
+    return docs.select(
+        "doc_id",
+        n("_text").alias("n_chars"),
+        (n("text") - n("_text")).alias("n_removed"),
+        F.col("_shared").alias("shared"),
+        F.col("_copied_from").alias("copied_from"),
+        F.col("_text").alias("text"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs).select(
@@ -77,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_substring_dedup,
         op3_token_counts,
         op4_url_filters,
         op5_minhash_near_dedup,
