@@ -1 +1 @@
-
+"""Kernels over DataFrames."""

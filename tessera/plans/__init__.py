@@ -1 +1 @@
-
+"""How jobs run: shared storage, sessions and timing."""

@@ -1,18 +1,313 @@
-"""Registered queries over the kernels."""
+"""The kernels as registered queries over the driver's tables, and the same in DuckDB SQL.
+
+Money is in whole cents, so that sums are exact; everything else is integers or
+rounded, so both engines can be compared by value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.generators import is_prime, random_cos, random_mul, selected, xorshift32
+from tessera.operators import compact as compacting
+from tessera.operators import matrix, reduce, scan, sort
+from tessera.sources.ranges import START, scan_input, sort_input, sum_input
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def sum_array_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.sum(cents).alias("sum_cents"))
 
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"sum_array_by_flag": sum_array_by_flag}
-ORACLE_SQL: dict[str, str] = {}
+    return add
+
+
+def cents(name: str) -> Column:
+    return F.round(F.col(name) * 100).cast("long")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql_cents(name: str) -> str:
+    return f"CAST(round({name} * 100) AS BIGINT)"
+
+
+# What the column functions are in DuckDB.  Its shifts raise on overflow, so the bits that would fall off are masked first.
+_STEPS_COS = """a AS (SELECT *, xor(x, x << 13) AS x1 FROM src), b AS (SELECT *, xor(x1, x1 >> 17) AS x2 FROM a),
+ c AS (SELECT *, CAST(floor(greatest(0.0, cos(CAST(x2 AS DOUBLE)) * 123456789.0)) AS UBIGINT) AS x3 FROM b),
+ d AS (SELECT *, xor(x3, x3 << 5) AS x4 FROM c),
+ e AS (SELECT *, CAST((CAST(x4 AS HUGEINT) * CAST(x4 AS HUGEINT) + 9023) % 1099511627776 AS UBIGINT) AS x5 FROM d),
+ f AS (SELECT *, xor(x5, x5 >> 11) AS x6 FROM e), g AS (SELECT *, CAST(xor(x6, x6 << 9) & 268435455::UBIGINT AS BIGINT) AS v FROM f)"""
+_STEPS_MUL = """a AS (SELECT *, CAST((CAST(x AS HUGEINT) + 876998787696) * 35334534876231 % 18446744073709551616 AS UBIGINT) AS x1 FROM src),
+ b AS (SELECT *, xor(x1, (x1 & 35184372088831::UBIGINT) << 19) AS x2 FROM a), c AS (SELECT *, xor(x2, x2 >> 23) AS x3 FROM b),
+ d AS (SELECT *, xor(x3, (x3 & 2251799813685247::UBIGINT) << 13) AS x4 FROM c), e AS (SELECT *, xor(x4, x4 >> 17) AS x5 FROM d),
+ f AS (SELECT *, xor(x5, (x5 & 576460752303423487::UBIGINT) << 5) AS x6 FROM e), g AS (SELECT *, CAST(x6 & 4294967295::UBIGINT AS BIGINT) AS v FROM f)"""
+_STEPS_XOR = """a AS (SELECT *, xor(x, x << 13) AS x1 FROM src), b AS (SELECT *, xor(x1, x1 >> 17) AS x2 FROM a),
+ g AS (SELECT *, CAST(xor(x2, (x2 & 576460752303423487::UBIGINT) << 5) & 4294967295::UBIGINT AS BIGINT) AS v FROM b)"""
+_STEPS_SELECTED = """a AS (SELECT *, xor(x, x >> 11) AS x1 FROM src), b AS (SELECT *, xor(x1, (x1 & 144115188075855871::UBIGINT) << 7) AS x2 FROM a),
+ g AS (SELECT *, (xor(x2, x2 >> 5) & 1::UBIGINT) = 1 AS keep FROM b)"""
+_EVENT = "src AS (SELECT event_id, CAST(event_id AS UBIGINT) AS x FROM events)"
+
+
+def _prime_sql(n: str) -> str:
+    return f"""CASE WHEN {n} = 2 THEN true WHEN {n} % 2 = 0 THEN false
+ ELSE len(list_filter(range(3, CAST(floor(sqrt({n})) AS BIGINT) + 1, 2), lambda f: {n} % f = 0)) = 0 END"""
+
+
+# Sums
+
+
+@registered(f"SELECT CAST(sum({_sql_cents('l_extendedprice')}) AS BIGINT) AS sum_cents FROM lineitem")
+def sum_array(spark, sf_dir):
+    return reduce.total(_table(spark, sf_dir, "lineitem"), cents("l_extendedprice"), name="sum_cents")
+
+
+@registered(
+    f"SELECT l_returnflag, l_linestatus, CAST(sum({_sql_cents('l_extendedprice')}) AS BIGINT) AS sum_cents FROM lineitem GROUP BY l_returnflag, l_linestatus"
+)
+def sum_array_by_flag(spark, sf_dir):
+    return reduce.total(_table(spark, sf_dir, "lineitem"), cents("l_extendedprice"), ["l_returnflag", "l_linestatus"], "sum_cents")
+
+
+@registered(
+    "SELECT CAST(sum(v) AS BIGINT) AS total FROM (WITH src AS (SELECT CAST(1073741824 + range AS UBIGINT) AS x FROM range(0, 200000)), " + _STEPS_COS + " SELECT v FROM g)"
+)
+def sum_generated(spark, sf_dir):
+    return reduce.total(sum_input(spark, 200_000), "v")
+
+
+@registered(
+    "SELECT CAST(sum(v) AS BIGINT) AS total FROM (WITH src AS (SELECT CAST(1073741824 + range AS UBIGINT) AS x FROM range(0, 263378)), " + _STEPS_COS + " SELECT v FROM g)"
+)
+def map_sum_range(spark, sf_dir):
+    return reduce.mapped_total(spark, START, 263_378, random_cos)
+
+
+@registered("WITH src AS (SELECT CAST(1073741824 + event_id AS UBIGINT) AS x FROM events), " + _STEPS_COS + " SELECT CAST(sum(v) AS BIGINT) AS total FROM g")
+def map_sum_random_cos(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return reduce.total(events.select(random_cos(F.col("event_id") + START).alias("v")), "v")
+
+
+# Generators
+
+
+@registered(f"WITH {_EVENT}, {_STEPS_XOR} SELECT event_id, v FROM g")
+def xorshift_project(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", xorshift32(F.col("event_id")).alias("v"))
+
+
+@registered(f"WITH {_EVENT}, {_STEPS_MUL} SELECT event_id, v FROM g")
+def random_mul_project(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", random_mul(F.col("event_id")).alias("v"))
+
+
+@registered(f"WITH src AS (SELECT event_id, CAST(1073741824 + event_id AS UBIGINT) AS x FROM events), {_STEPS_COS} SELECT event_id, v FROM g")
+def random_cos_project(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", random_cos(F.col("event_id") + START).alias("v"))
+
+
+# Primes
+
+
+@registered(f"SELECT o_orderkey, {_prime_sql('o_orderkey')} AS prime FROM orders")
+def prime_flags(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", is_prime(F.col("o_orderkey")).alias("prime"))
+
+
+@registered(f"SELECT count(*) AS primes FROM orders WHERE {_prime_sql('o_orderkey')}")
+def prime_count_orders(spark, sf_dir):
+    return reduce.count_where(_table(spark, sf_dir, "orders"), is_prime(F.col("o_orderkey")), name="primes")
+
+
+@registered(f"SELECT count(*) AS primes FROM range(2, 50002) t(n) WHERE {_prime_sql('n')}")
+def prime_count_range(spark, sf_dir):
+    return reduce.count_primes(spark, 2, 50_000)
+
+
+# Prefix sums
+
+
+@registered(f"SELECT event_id, CAST(sum({_sql_cents('value')}) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix FROM events")
+def scan_events(spark, sf_dir):
+    return scan.prefix_sum(_table(spark, sf_dir, "events"), cents("value"), ["event_id"]).select("event_id", "prefix")
+
+
+@registered(
+    f"SELECT event_id, CAST(coalesce(sum({_sql_cents('value')}) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prefix FROM events"
+)
+def scan_exclusive_events(spark, sf_dir):
+    return scan.prefix_sum(_table(spark, sf_dir, "events"), cents("value"), ["event_id"], exclusive=True).select("event_id", "prefix")
+
+
+@registered(
+    f"SELECT event_id, CAST(1000 + sum({_sql_cents('value')}) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix FROM events"
+)
+def scan_initial_value(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return scan.prefix_sum(events, cents("value"), ["event_id"], ["event_type"], initial=1000, spread=True).select("event_id", "prefix")
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+
+
+@registered(
+    f"SELECT l_suppkey, {_LINE}, CAST(sum({_sql_cents('l_extendedprice')}) OVER (PARTITION BY l_suppkey ORDER BY {_LINE} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix FROM lineitem"
+)
+def scan_by_supplier(spark, sf_dir):
+    line = _LINE.split(", ")
+    return scan.prefix_sum(_table(spark, sf_dir, "lineitem"), cents("l_extendedprice"), line, ["l_suppkey"]).select("l_suppkey", *line, "prefix")
+
+
+@registered(
+    "SELECT CAST(m AS INTEGER) AS m, CAST(max(p) AS BIGINT) AS last, CAST(bit_xor(p) AS BIGINT) AS mixed FROM (WITH src AS (SELECT m.range AS m, CAST(i.range AS UBIGINT) AS x FROM range(0, 4) m, range(0, 65536) i), "
+    + _STEPS_XOR
+    + " SELECT m, CAST(sum(v) OVER (PARTITION BY m ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM g) GROUP BY m"
+)
+def scan_generated(spark, sf_dir):
+    out = scan.prefix_sum(scan_input(spark, 65_536, 4), "v", ["i"], ["m"], spread=True)
+    return out.groupBy("m").agg(F.max("prefix").alias("last"), F.bit_xor("prefix").alias("mixed"))
+
+
+# Compaction
+
+
+_KEPT_ORDERS = f"WITH src AS (SELECT o_orderkey, CAST(o_orderkey AS UBIGINT) AS x FROM orders), {_STEPS_SELECTED}"
+
+
+@registered(_KEPT_ORDERS + " SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM g WHERE keep")
+def compact_orders(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return compacting.compact(orders, selected(F.col("o_orderkey")), ["o_orderkey"])
+
+
+@registered(
+    f"WITH src AS (SELECT event_type, event_id, CAST(event_id AS UBIGINT) AS x FROM events), {_STEPS_SELECTED}"
+    " SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS index FROM g WHERE keep"
+)
+def compact_by_type(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_type", "event_id")
+    return compacting.compact(events, selected(F.col("event_id")), ["event_id"], ["event_type"])
+
+
+@registered(_KEPT_ORDERS + " SELECT count(*) FILTER (WHERE keep) AS kept FROM g")
+def compact_count(spark, sf_dir):
+    return reduce.count_where(_table(spark, sf_dir, "orders"), selected(F.col("o_orderkey")), name="kept")
+
+
+# Sorting
+
+
+@registered(
+    f"SELECT cents, row_number() OVER (ORDER BY cents) - 1 AS rank FROM (SELECT {_sql_cents('l_extendedprice')} AS cents FROM lineitem)"
+)
+def sort_prices(spark, sf_dir):
+    return sort.ranked(_table(spark, sf_dir, "lineitem").select(cents("l_extendedprice").alias("cents")), ["cents"])
+
+
+@registered(
+    "SELECT rank AS place, cents AS value FROM (SELECT cents, row_number() OVER (ORDER BY cents) - 1 AS rank FROM"
+    f" (SELECT {_sql_cents('l_extendedprice')} AS cents FROM lineitem)) WHERE rank IN (0, 478, (SELECT count(*) FROM lineitem) // 2,"
+    " (SELECT count(*) FROM lineitem) - 324, (SELECT count(*) FROM lineitem) - 1)"
+)
+def sort_order_stats(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").select(cents("l_extendedprice").alias("cents"))
+    return sort.order_statistics(items, "cents", sort.checksum_places(items.count()))
+
+
+@registered(
+    "SELECT CAST(sum(v) AS BIGINT) AS checksum FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rank FROM"
+    f" (WITH src AS (SELECT CAST(range AS UBIGINT) AS x FROM range(0, 65536)), {_STEPS_MUL} SELECT v FROM g)) WHERE rank IN (0, 478, 32768, 65212, 65535)"
+)
+def sort_checksum(spark, sf_dir):
+    return sort.checksum(sort_input(spark, 65_536), "x", 65_536)
+
+
+@registered(
+    f"""WITH t AS (SELECT event_id, {_sql_cents('value')} AS v FROM events), p AS (SELECT v AS pivot_value FROM t ORDER BY event_id LIMIT 1)
+ SELECT pivot_value, count(*) FILTER (WHERE v < pivot_value) AS "left", count(*) FILTER (WHERE v >= pivot_value) - 1 AS "right" FROM t, p GROUP BY pivot_value"""
+)
+def partition_pivot(spark, sf_dir):
+    return sort.split_counts(_table(spark, sf_dir, "events").select("event_id", cents("value").alias("v")), "event_id", "v")
+
+
+@registered(
+    f"""WITH t AS (SELECT event_id, {_sql_cents('value')} AS v FROM events), p AS (SELECT event_id AS pivot_at, v AS pivot_value FROM t ORDER BY event_id LIMIT 1)
+ SELECT event_id, v, CASE WHEN v < pivot_value THEN 'left' ELSE 'right' END AS side FROM t, p WHERE event_id <> pivot_at"""
+)
+def partition_rows(spark, sf_dir):
+    return sort.split(_table(spark, sf_dir, "events").select("event_id", cents("value").alias("v")), "event_id", "v")
+
+
+# Matrices
+
+
+def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 embeddings as one 64 by 64 matrix."""
+    vectors = _table(spark, sf_dir, "embeddings").where("vec_id < 64")
+    cells = vectors.select(F.lit(0).alias("m"), F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v"))
+    return cells.select("m", "r", "c", F.col("v").cast("double").alias("v"))
+
+
+def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label, the products of its vectors' columns, with 64 added on the diagonal."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("m"), F.col("vec_id").alias("r"), F.posexplode("embedding").alias("c", "v"))
+    vectors = vectors.withColumn("v", F.col("v").cast("double"))
+    products = matrix.multiply(matrix.transposed(vectors), vectors)
+    return products.withColumn("v", F.col("v") + F.when(F.col("r") == F.col("c"), 64.0).otherwise(0.0))
+
+
+_BLOCK = (
+    "b AS (SELECT 0 AS m, CAST(vec_id AS INTEGER) AS r, CAST(i.range AS INTEGER) AS c, CAST(embedding[i.range + 1] AS DOUBLE) AS v"
+    " FROM embeddings, range(0, 64) i WHERE vec_id < 64)"
+)
+
+
+@registered(f"WITH {_BLOCK} SELECT m, r, c, round(v, 6) AS v FROM b")
+def matrix_from_embeddings(spark, sf_dir):
+    return _block(spark, sf_dir).withColumn("v", F.round("v", 6))
+
+
+@registered(f"WITH {_BLOCK} SELECT 0 AS m, x.r, y.r AS c, round(sum(x.v * y.v), 6) AS v FROM b x JOIN b y ON x.c = y.c GROUP BY x.r, y.r")
+def matrix_multiply(spark, sf_dir):
+    b = _block(spark, sf_dir)
+    return matrix.multiply(b, matrix.transposed(b)).withColumn("v", F.round("v", 6))
+
+
+@registered(f"WITH {_BLOCK} SELECT m, r, c, round(v, 6) AS v FROM b WHERE c >= r")
+def upper_triangle(spark, sf_dir):
+    return matrix.upper_triangle(_block(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+@registered(f"WITH {_BLOCK} SELECT m, r, c, CASE WHEN c = r THEN 1.0::DOUBLE ELSE round(v, 6) END AS v FROM b WHERE c <= r")
+def lower_unit_triangle(spark, sf_dir):
+    return matrix.lower_unit_triangle(_block(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+@registered()
+def lu_by_group(spark, sf_dir):
+    return matrix.lu(_gram(spark, sf_dir)).withColumn("v", F.round("v", 6))
+
+
+@registered("SELECT DISTINCT label AS m, true AS small FROM embeddings")
+def lu_error(spark, sf_dir):
+    a = _gram(spark, sf_dir)
+    return matrix.reconstruction_error(a, matrix.lu(a)).select("m", (F.col("error") < 1e-6).alias("small"))
+
+
+@registered("SELECT DISTINCT label AS m, CAST(0 AS BIGINT) AS wrong FROM embeddings")
+def lu_verify(spark, sf_dir):
+    a = _gram(spark, sf_dir)
+    wrong = matrix.wrong_places(a, matrix.lu(a)).groupBy("m").agg(F.count("*").alias("n"))
+    return a.select("m").distinct().join(wrong, "m", "left").select("m", F.coalesce("n", F.lit(0)).cast("long").alias("wrong"))

@@ -1 +1 @@
-
+"""Inputs: generated ranges and matrices in text files."""
