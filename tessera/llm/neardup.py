@@ -15,8 +15,9 @@ What moves are band keys and ids; texts only for pairs that must be verified:
    class first, the rest if it does not follow from earlier links.  A bucket of
    n classes gives n - 1 pairs, not n^2.
 3. In buckets that still hold several components, members of different ones
-   are paired as well.  A bucket too large for that is cut by each other band:
-   two near classes of it share one more band with the same great likelihood.
+   may be near, too.  They are not paired bucket by bucket, as a passage that
+   very many share fills buckets with strangers: those that share a rare enough
+   shingle are, which every two near ones do.
 4. All pairs are verified on full shingle sets, and links become components.
 """
 
@@ -37,8 +38,6 @@ from tessera.llm.wordcache import WordCache
 BANDS, ROWS = 40, 4
 SHINGLE = 5
 NEAR, OF = 75, 100
-BUCKET_PAIRS = 2304
-DEPTH = 3
 _U = np.uint64
 
 
@@ -156,34 +155,60 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _pairs_left(members: DataFrame, keys: DataFrame, level: int, most: int) -> DataFrame:
-    """Pairs of different components in buckets (key, id, size, root).
+def _rare_first(members: DataFrame, texts: DataFrame, near: int, of: int) -> DataFrame:
+    """(key, pos, id, size, root): under which rare shingles each member (id, size, root) must meet every near one.
 
-    Of a bucket's components the one with the most members meets all others,
-    and these meet each other, so a large component beside a few strangers is
-    not paired with itself.  A bucket with more than most pairs is cut by each
-    further band of its members.
+    With its shingles in one order for all, rarest among the members first, a
+    set of n shares one of its first n - ceil(n * near / of) + 1 with any set
+    near to it.  Passages that many members share come last in that order, so
+    they bring no strangers together.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = shingler().shingles
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "s": [make(t).view("int64") for t in frame["text"]]})
+
+    sets = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInPandas(run, "id long, s array<long>")
+    items = written(sets.select("id", F.explode("s").alias("key")).distinct(), "shingles")
+    common = items.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = items.join(common, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
+    head = F.size("all") - F.ceil(F.size("all") * F.lit(near) / of).cast("int") + 1
+    first = ranked.select("id", F.posexplode(F.slice("all", F.lit(1), head)).alias("pos", "x"))
+    return first.where("x.n > 1").select("id", "pos", "x.key").join(members, "id").select("key", "pos", "id", "size", "root")
+
+
+def _across(members: DataFrame, near: int, of: int) -> DataFrame:
+    """Pairs of members of different components that may be near by a common key, its places and their sizes.
+
+    At the first shingle that two sets share, no more than what follows it in
+    either can be shared.  So from its own place a member knows how large a
+    smaller partner may be, and looks for it under the key and steps of size:
+    members that share no more than a common passage do not meet.  Of a key's
+    components the one with the most members is not matched with itself.
     """
     parts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    facts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-    facts = facts.where("roots > 1").select("key", F.col("top.root").alias("top"), (F.col("n") * (F.col("n") - F.col("top.n"))).alias("work"))
-    open_ = members.join(facts, "key")
-    few = open_ if level >= DEPTH else open_.where(F.col("work") <= most)
-    strange, every = (
-        few.where(which).select("key", F.col("id").alias(i), F.col("size").alias(f"{i}_size"), F.col("root").alias(f"{i}_root"))
-        for which, i in (("root <> top", "u"), ("true", "v"))
+    facts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    mixed = members.join(facts.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
+    mixed = mixed.withColumns({"strange": F.col("root") != F.col("top"), "rest": F.col("size") - F.col("pos")})
+    step = lambda size: F.floor(F.log(size.cast("double")) * 50).cast("int")
+    least = F.ceil(F.col("size") * F.lit(near) / of)
+    # of * rest >= near * (size + partner - rest)
+    most = F.least(F.col("size"), F.floor(F.col("rest") * F.lit(of + near) / near - F.col("size")))
+    large = mixed.where(most >= least).select(
+        "key", F.col("id").alias("u"), F.col("size").alias("u_size"), F.col("rest").alias("u_rest"), F.col("root").alias("u_root"),
+        F.explode(F.sequence(step(least), step(most))).alias("step"), "strange",
+    )
+    large = large.withColumn("strange", F.explode(F.when(F.col("strange"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    small = mixed.select("key", F.col("id").alias("v"), F.col("size").alias("v_size"), F.col("rest").alias("v_rest"), F.col("root").alias("v_root"), step(F.col("size")).alias("step"), "strange")
+    most_shared = F.least("u_rest", "v_rest")
+    fits = (
+        ((F.col("v_size") < F.col("u_size")) | (F.col("v_size") == F.col("u_size")) & (F.col("v") < F.col("u")))
+        & (F.col("u_root") != F.col("v_root"))
+        & (of * most_shared >= near * (F.col("u_size") + F.col("v_size") - most_shared))
     )
-    fits = (OF * F.least("u_size", "v_size") >= NEAR * F.greatest("u_size", "v_size")) & (F.col("u_root") != F.col("v_root"))
-    pairs = strange.join(every, "key").where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    if level >= DEPTH:
-        return pairs
-    large = open_.where(F.col("work") > most)
-    if not large.limit(1).count():
-        return pairs
-    cut = large.join(keys, "id").withColumn("other", F.explode("keys")).where("other <> key")
-    both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    cut = written(cut.select(both.alias("key"), "id", "size", "root").distinct(), "cut")
-    return pairs.union(_pairs_left(cut, keys, level + 1, most)).distinct()
+    both = large.join(small, ["key", "step", "strange"]).where(fits)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(
@@ -194,7 +219,6 @@ def near_duplicates(
     of: int = OF,
     bands: int = BANDS,
     rows: int = ROWS,
-    bucket_pairs: int = BUCKET_PAIRS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the classes that links of near texts make of documents.
 
@@ -239,9 +263,8 @@ def near_duplicates(
     # 3. pairs of components that still share a bucket
     members = _labelled(shared.select("key", "id", "size"), roots)
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = written(members.join(mixed, "key"), "members")
-    keys = lead_rows.select("id", "keys").join(members.select("id").distinct(), "id", "left_semi")
-    left = _pairs_left(members, keys, 1, bucket_pairs).join(star, ["u", "v"], "left_anti")
+    members = written(members.join(mixed, "key", "left_semi").select("id", "size", "root").distinct(), "members")
+    left = _across(_rare_first(members, texts, near, of), near, of).join(star, ["u", "v"], "left_anti")
     links = _more(links, _verified(left, texts, near, of))
 
     # 4. components over classes and copies
