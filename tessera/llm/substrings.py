@@ -7,10 +7,9 @@ document id and position, is kept; at any other place it is a repeat.  Runs of
 repeats that together are long enough are cut out, so that a phrase which two
 documents share by chance stays.
 
-Chunks move as two longs and a digest.  Digests are counted and their first
-places found by partial aggregates before the shuffle, and only digests seen
-twice are joined back, where the engine's skew join splits a digest that a
-third of all documents hold.  The repeats of one document are bounded by its
+Chunks move as two longs and a digest.  Digests are counted by partial
+aggregates before the shuffle; only places of digests seen twice go on, and
+the engine's skew join splits a digest that a third of all documents hold.  The repeats of one document are bounded by its
 own length.
 """
 
@@ -79,15 +78,15 @@ def _key(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 64 - _KEY_BITS)
 
 
-def chunks(df: DataFrame) -> DataFrame:
+def chunks(df: DataFrame, batch: int = 500) -> DataFrame:
     """(digest, doc_id, at) of every chunk of (doc_id, text); at holds key, start and length."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest as digest
 
-        for frame in frames:
+        for part in (f.iloc[i : i + batch] for f in frames for i in range(0, len(f), batch)):
             ids, digests, at = [], [], []
-            for doc_id, key, text in zip(frame["doc_id"], frame["key"], frame["text"], strict=True):
+            for doc_id, key, text in zip(part["doc_id"], part["key"], part["text"], strict=True):
                 raw = text.encode()
                 if not raw:
                     continue
@@ -141,25 +140,31 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     named = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    found = written(chunks(df.select(named.alias("doc_id"), _key(body).alias("key"), body.alias("text"))), "chunks")
+    repeated = bool(df.groupBy(named.alias("id")).count().where("count > 1").limit(1).count())
+    bits = _key(body) if repeated else F.lit(0).cast("long")
+    found = written(chunks(df.select(named.alias("doc_id"), bits.alias("key"), body.alias("text"))), "chunks")
     place = F.struct("doc_id", "at")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    seen = found.join(first, "digest")
-    mine = seen.withColumn("repeat", place != F.col("first")).groupBy("doc_id", F.shiftrightunsigned("at", _AT_BITS).alias("key"))
-    mine = mine.agg(
+    # aggregates are written before they are joined, so that a join's skewed side can be split
+    twice = written(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
+    some = written(found.join(twice, "digest", "left_semi"), "repeated")
+    forget(found)
+    forget(twice)
+    first = written(some.groupBy("digest").agg(F.min(place).alias("first")), "first")
+    seen = some.join(first, "digest").withColumn("repeat", place != F.col("first"))
+    mine = seen.groupBy("doc_id", F.shiftrightunsigned("at", _AT_BITS).alias("key")).agg(
         F.collect_list("at").alias("at"),
-        F.collect_list(F.when(F.col("repeat"), F.struct("at", F.col("first.doc_id").alias("of")))).alias("repeats"),
+        F.collect_list(F.when(F.col("repeat"), F.col("at"))).alias("repeats"),
+        F.collect_list(F.when(F.col("repeat"), F.col("first.doc_id"))).alias("of"),
     )
     kind = "doc_id long, key long, spans array<struct<start:int,end:int>>, copied_from array<long>"
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, bits, at, repeats in zip(frame["doc_id"], frame["key"], frame["at"], frame["repeats"], strict=True):
+            for key, bits, at, repeats, of in zip(frame["doc_id"], frame["key"], frame["at"], frame["repeats"], frame["of"], strict=True):
                 if not _runs(np.asarray(at, "int64"), cut):
                     continue
-                where = np.array([r["at"] for r in repeats], "int64")
-                of = np.array([r["of"] for r in repeats], "int64")
+                where, of = np.asarray(repeats, "int64"), np.asarray(of, "int64")
                 runs = _runs(where, cut)
                 start = (where & ((1 << _AT_BITS) - 1)) >> 9
                 inside = np.zeros(len(where), bool)
@@ -169,10 +174,11 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut:
             yield pd.DataFrame(out, columns=["doc_id", "key", "spans", "copied_from"])
 
     cuts = written(mine.mapInPandas(decide, kind), "cuts")
-    forget(found)
+    forget(some)
+    forget(first)
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("copied_from").alias("_copied_from"))
-    own = df.withColumns({"_own_id": named, "_own_key": _key(body)})
-    both = own.join(cuts, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
+    own = df.withColumns({"_own_id": named, "_own_key": bits})
+    both = own.hint("shuffle_merge").join(cuts, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
     touched = F.size("_spans") > 0
     new = _without(F.when(touched, F.col(text)), F.when(touched, F.col("_spans")))
     nothing = F.array()
