@@ -19,7 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df and reads it back: its rows and their partitions are then fixed, and no lost executor takes them away."""
+    """Writes df and reads it back: this cuts its lineage, and no lost executor takes its rows away."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._tessera_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
