@@ -24,20 +24,28 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved if large else moved.distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root): the least node that links (u, v) reach from each linked node that is not its own root.
 
     Alternates large and small stars, writing each round's edges, until they
-    no longer change; then every edge points at its root.
+    no longer change; then every edge points at its root.  After a given
+    number of rounds instead, a root is some node that the links reach.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if rounds:
+        for _ in range(rounds):
+            edges = _stars(_stars(edges, True), False)
+        edges = edges.groupBy("u").agg(F.min("v").alias("v"))
+        return written(edges, "stars").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = written(edges, "links")
     seen = _state(edges)
     while True:
         new = written(_stars(_stars(edges, True), False), "stars")

@@ -64,7 +64,9 @@ class Shingler:
         n = len(words)
         if not n:
             return np.zeros(0, "uint64")
-        self.known.learn(set(words))
+        distinct = set(words)
+        if self.known.learn(distinct):
+            self.known.learn(distinct)
         ids = np.fromiter(map(self.known.__getitem__, words), "uint64", n)
         with np.errstate(over="ignore"):
             if n < self.window:
@@ -238,8 +240,9 @@ def near_duplicates(
 
     # 1. classes of equal sets
     some = sketches.where("size > 0")
-    classes = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    named = written(some.select("id", "size", "s1", "s2").join(classes, ["s1", "s2"]).select("id", "size", "rep", "n"), "classes")
+    # written before it is joined, so that the engine can split the rows of a set that very many documents have
+    classes = written(some.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "sets")
+    named = written(some.select("id", "size", "s1", "s2").join(classes, ["s1", "s2"]).select("id", "size", "rep"), "classes")
     copies = named.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     # 2. a pair per class and bucket with the bucket's least class
@@ -254,11 +257,11 @@ def near_duplicates(
     star = written(star, "star")
     one = star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     links = written(_verified(one, texts, near, of), "links")
-    roots = components(links)
+    roots = components(links, rounds=1)
     rest = star.join(one, ["u", "v"], "left_anti")
     rest = _apart(rest, roots)
     links = _more(links, _verified(rest, texts, near, of))
-    roots = components(links)
+    roots = components(links, rounds=1)
 
     # 3. pairs of components that still share a bucket
     members = _labelled(shared.select("key", "id", "size"), roots)
