@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -93,13 +94,12 @@ class PieceCounter:
         if not self.cuts:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         parts = [self.pretokens(t) if t else ([], 0) for t in texts]
-        seen: set[bytes] = set()
+        new: set[bytes] = set()
         for p, _ in parts:
-            seen.update(p)
-        new = [k for k in seen if k not in self.known]
+            new.update(filterfalse(self.known.__contains__, p))
         if len(self.known) + len(new) > self.known.most:
             self._reset()
-            new = [k for k in seen if k not in self.known]
+            new = {k for p, _ in parts for k in p}
         self.known.learn(new)
         return [sum(map(self.known.__getitem__, p)) - over for p, over in parts]
 
@@ -119,7 +119,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", model
     """
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = PieceCounter(tokenizer_path(model))
+        counter = piece_counter(tokenizer_path(model))
         for column in columns:
             found = []
             for i in range(0, len(column), batch):

@@ -12,17 +12,16 @@ class WordCache(dict):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
 
-    def learn(self, wanted: Iterable) -> None:
-        """Makes all wanted words known at once, but for those too long to keep."""
-        wanted = list(wanted)
-        new = [w for w in wanted if w not in self]
-        if len(self) + len(new) > self.most:
+    def learn(self, wanted: Iterable) -> bool:
+        """Makes all wanted words known at once, but for those too long to keep.  Returns whether what was known is gone."""
+        new = [w for w in wanted if w not in self and len(w) <= self.longest]
+        full = bool(self) and len(self) + len(new) > self.most
+        if full:
             self.clear()
-            new = wanted
-        short = [w for w in new if len(w) <= self.longest]
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             self.update(zip(part, self.encode(part), strict=True))
+        return full
 
     def __missing__(self, word):
         return self.encode([word])[0]
