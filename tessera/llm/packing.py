@@ -12,12 +12,13 @@ packs alike.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pandas as pd
@@ -65,8 +66,8 @@ class WordEncoder:
         self.marks = _byte_marks()
         self.cut = regex.compile(self.PARTS).findall
         self.odd = re.compile(r"[\u0300-\U0010ffff]|<\|").search
-        self.parts = WordCache(self._merge, 300_000)
-        self.lowered = WordCache(self._join, 500_000)
+        self.parts = WordCache(self._merge, 400_000)
+        self.lowered = WordCache(self._join, 700_000)
         self.raw = WordCache(self._whole, 50_000)
 
     def _merge(self, parts: list[str]) -> list[bytes]:
@@ -75,7 +76,9 @@ class WordEncoder:
 
     def _join(self, words: list[bytes]) -> list[bytes]:
         cuts = [self.cut(w.decode()) for w in words]
-        self.parts.learn({p for c in cuts for p in c})
+        parts = {p for c in cuts for p in c}
+        if self.parts.learn(parts):
+            self.parts.learn(parts)
         return [b"".join(map(self.parts.__getitem__, c)) for c in cuts]
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
@@ -84,14 +87,27 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [(self.raw, t.encode().split()) if self.odd(t) else (self.lowered, t.lower().encode().split()) for t in texts]
-        for cache in (self.lowered, self.raw):
-            seen: set[bytes] = set()
-            for c, parts in cuts:
-                if c is cache:
-                    seen.update(parts)
-            cache.learn(seen)
-        return [b"".join(map(cache.__getitem__, parts)) for cache, parts in cuts]
+        # nothing here makes cycles, and a collection would walk the caches again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cuts = [(self.lowered, t.lower().encode().split()) if self._plain(t) else (self.raw, t.encode().split()) for t in texts]
+        new: dict[int, set[bytes]] = {id(self.lowered): set(), id(self.raw): set()}
+        for known, words in cuts:
+            new[id(known)].update(filterfalse(known.__contains__, words))
+        for known in (self.lowered, self.raw):
+            if known.learn(new[id(known)]):
+                known.learn({w for k, words in cuts if k is known for w in words})
+        return [b"".join(map(known.__getitem__, words)) for known, words in cuts]
+
+    def _plain(self, text: str) -> bool:
+        return "<|" not in text if text.isascii() else not self.odd(text)
 
 
 @cache
