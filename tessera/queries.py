@@ -254,9 +254,10 @@ def partition_rows(spark, sf_dir):
 
 
 def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 embeddings as one 64 by 64 matrix."""
-    vectors = _table(spark, sf_dir, "embeddings").where("vec_id < 64")
-    cells = vectors.select(F.lit(0).alias("m"), F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v"))
+    """All embeddings as matrices of 64 rows: row vec_id mod 64 of matrix vec_id div 64."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    m, r = F.expr("cast(floor(vec_id / 64) as int)"), F.pmod("vec_id", F.lit(64)).cast("int")
+    cells = vectors.select(m.alias("m"), r.alias("r"), F.posexplode("embedding").alias("c", "v"))
     return cells.select("m", "r", "c", F.col("v").cast("double").alias("v"))
 
 
