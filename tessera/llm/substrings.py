@@ -3,14 +3,17 @@
 A gear hash rolls over a text's bytes; a low value ends a chunk, so boundaries
 depend on the last 16 bytes alone and an insertion moves only the chunks
 around it.  Chunks are compared by digest.  The first place of a chunk, by
-document id and position, is kept; at any other place it is a repeat.  Runs of
-repeats that together are long enough are cut out, so that a phrase which two
-documents share by chance stays.
+document id and position, is kept; at any other place it is a repeat.  Where
+chunks that are seen twice follow each other, the shortest stretches of them
+that are long enough to be cut are compared by a digest of their chunks in turn.
+A stretch is cut out if it stood in one piece at an earlier place; so a phrase
+which two documents share by chance stays, and phrases shared with several
+documents do not add up.
 
 Chunks move as two longs and a digest.  Digests are counted by partial
 aggregates before the shuffle; only places of digests seen twice go on, and
-the engine's skew join splits a digest that a third of all documents hold.  The repeats of one document are bounded by its
-own length.
+the engine's skew join splits a digest that a third of all documents hold.  The
+repeats of one document, and its stretches of them, are bounded by its own length.
 """
 
 from __future__ import annotations
@@ -102,16 +105,41 @@ def chunks(df: DataFrame, batch: int = 500) -> DataFrame:
     return df.mapInPandas(run, "digest long, doc_id long, at long")
 
 
-def _runs(at: np.ndarray, least: int) -> list[list[int]]:
-    """Stretches [start, end] of chunks that follow each other, of at least so many bytes."""
+def windows(edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indexes of edges: the shortest stretches of at least so many bytes that start, or end, at each edge."""
+    n, least = len(edges), max(least, 1)
+    last = np.searchsorted(edges, edges + least)
+    first = np.searchsorted(edges, edges - least, "right") - 1
+    pairs = np.concatenate([np.flatnonzero(last < n) * n + last[last < n], first[first >= 0] * n + np.flatnonzero(first >= 0)])
+    return np.divmod(np.unique(pairs), n)
+
+
+def _stretches(at: np.ndarray, digest: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digest) of the windows of a document's chunks that follow each other."""
+    from xxhash import xxh3_64_intdigest
+
+    place = at & ((1 << _AT_BITS) - 1)
+    order = np.argsort(place)
+    start, digest = place[order] >> 9, np.ascontiguousarray(digest[order])
+    end = start + (place[order] & 511)
+    heads = np.flatnonzero(np.append(True, start[1:] != end[:-1])).tolist()
+    for low, high in zip(heads, [*heads[1:], len(start)], strict=True):
+        edges = np.append(start[low:high], end[high - 1])
+        if edges[-1] - edges[0] >= least:
+            for a, b in zip(*(x.tolist() for x in windows(edges, least)), strict=True):
+                told = xxh3_64_intdigest(digest[low + a : low + b].tobytes())
+                yield int(edges[a]), int(edges[b]), told - ((told >> 63) << 64)
+
+
+def _joined(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """The union of stretches, as those [start, end] that do not meet."""
     out: list[list[int]] = []
-    place = np.sort(at & ((1 << _AT_BITS) - 1))
-    for start, size in zip((place >> 9).tolist(), (place & 511).tolist(), strict=True):
-        if out and out[-1][1] == start:
-            out[-1][1] = start + size
+    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([start, start + size])
-    return [r for r in out if r[1] - r[0] >= least]
+            out.append([a, b])
+    return out
 
 
 def _whole_words(raw: bytes, start: int, end: int) -> tuple[int, int]:
@@ -153,29 +181,48 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut:
     seen = some.join(first, "digest").withColumn("repeat", place != F.col("first"))
     mine = seen.groupBy("doc_id", F.shiftrightunsigned("at", _AT_BITS).alias("key")).agg(
         F.collect_list("at").alias("at"),
-        F.collect_list(F.when(F.col("repeat"), F.col("at"))).alias("repeats"),
-        F.collect_list(F.when(F.col("repeat"), F.col("first.doc_id"))).alias("of"),
+        F.collect_list("digest").alias("digest"),
+        F.collect_list("repeat").alias("repeat"),
+        F.collect_list("first.doc_id").alias("of"),
+    )
+    mine = written(mine, "mine")
+    forget(some)
+    forget(first)
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, bits, at, digest in zip(frame["doc_id"], frame["key"], frame["at"], frame["digest"], strict=True):
+                out += [(told, key, bits, a, b) for a, b, told in _stretches(np.asarray(at, "int64"), np.asarray(digest, "int64"), cut)]
+            yield pd.DataFrame(out, columns=["stretch", "doc_id", "key", "start", "end"])
+
+    whole = written(mine.select("doc_id", "key", "at", "digest").mapInPandas(combine, "stretch long, doc_id long, key long, start int, end int"), "stretches")
+    place = F.struct("doc_id", "key", "start")
+    origin = whole.groupBy("stretch").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    origin = written(origin, "origins")
+    again = F.when(place != F.col("origin"), True)
+    shared = whole.join(origin, "stretch").groupBy("doc_id", "key").agg(
+        F.collect_list(F.when(again, F.col("start"))).alias("starts"), F.collect_list(F.when(again, F.col("end"))).alias("ends")
     )
     kind = "doc_id long, key long, spans array<struct<start:int,end:int>>, copied_from array<long>"
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, bits, at, repeats, of in zip(frame["doc_id"], frame["key"], frame["at"], frame["repeats"], frame["of"], strict=True):
-                if not _runs(np.asarray(at, "int64"), cut):
-                    continue
-                where, of = np.asarray(repeats, "int64"), np.asarray(of, "int64")
-                runs = _runs(where, cut)
-                start = (where & ((1 << _AT_BITS) - 1)) >> 9
-                inside = np.zeros(len(where), bool)
+            for key, bits, starts, ends, at, repeat, of in zip(*(frame[c] for c in ("doc_id", "key", "starts", "ends", "at", "repeat", "of")), strict=True):
+                runs = _joined(np.asarray(starts, "int64"), np.asarray(ends, "int64"))
+                start = (np.asarray(at, "int64") & ((1 << _AT_BITS) - 1)) >> 9
+                inside = np.zeros(len(start), bool)
                 for a, b in runs:
                     inside |= (start >= a) & (start < b)
-                out.append((key, bits, [{"start": a, "end": b} for a, b in runs], np.unique(of[inside]).tolist()))
+                keepers = np.asarray(of, "int64")[inside & np.asarray(repeat, bool)]
+                out.append((key, bits, [{"start": a, "end": b} for a, b in runs], np.unique(keepers).tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "key", "spans", "copied_from"])
 
-    cuts = written(mine.mapInPandas(decide, kind), "cuts")
-    forget(some)
-    forget(first)
+    both = shared.join(mine.select("doc_id", "key", "at", "repeat", "of").hint("shuffle_merge"), ["doc_id", "key"])
+    cuts = written(both.mapInPandas(decide, kind), "cuts")
+    for table in (mine, whole, origin):
+        forget(table)
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("copied_from").alias("_copied_from"))
     own = df.withColumns({"_own_id": named, "_own_key": bits})
     both = own.hint("shuffle_merge").join(cuts, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
