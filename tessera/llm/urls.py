@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and boosted trees on lexical features.
 
-Rules and trees are compiled into column expressions, so judging is one
-projection without a shuffle.  The trees are fitted on the driver, on a bounded
-sample of labelled URLs: the train_rows distinct URLs with the smallest hashes.
+Rules and trees are compiled into column expressions.  Counts and shares by
+suffix and section are taken over all labelled URLs, and joined as tables.  Only
+the trees are fitted on the driver, on a bounded sample of labelled URLs: the
+train_rows distinct URLs with the smallest hashes.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits
 no rule and is judged by its features like any other; repeated URLs are judged
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, forget, written
 
 #: rule -> verdict.  A rule is a host, which covers its subdomains, and how paths start.
 RULES = {
@@ -105,22 +106,22 @@ def with_features(df: DataFrame, url: str = "url", prefix: str = "") -> DataFram
 
 @dataclass
 class UrlModel:
-    """Boosted trees as nested tuples (feature, threshold, left, right) or a leaf value; shares maps statistics' keys to (share, log count)."""
+    """Boosted trees as nested tuples (feature, threshold, left, right) or a leaf value; shares holds tables (key, share, log_count) by kind."""
 
     base: float
     prior: float
     trees: list = field(default_factory=list)
-    shares: dict[str, dict[str, tuple[float, float]]] = field(default_factory=dict)
+    shares: dict[str, DataFrame] = field(default_factory=dict)
 
-    def inputs(self, prefix: str = "") -> dict[str, Column]:
-        """Columns of FEATURES over what with_features() adds."""
-        out = {f: F.col(prefix + f) for f in LEXICAL}
+    def with_shares(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Adds the statistics among FEATURES to what with_features() adds; an unknown key has the mean share and count 0."""
         for kind in ("suffix", "section"):
-            known = self.shares.get(kind) or {"": (self.prior, 0.0)}
-            for i, name in enumerate(("share", "log_count")):
-                table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.lit(float(v[i])) for v in known.values()]))
-                out[f"{kind}_{name}"] = F.coalesce(F.try_element_at(table, F.col(prefix + kind)), F.lit(self.prior if i == 0 else 0.0))
-        return out
+            key, names = prefix + kind, {f"{prefix}{kind}_{n}": n for n in ("share", "log_count")}
+            if kind in self.shares:
+                df = df.join(self.shares[kind].select(F.col("key").alias(key), *[F.col(n).alias(c) for c, n in names.items()]), key, "left")
+            known = lambda c: F.col(c) if kind in self.shares else F.lit(None).cast("double")
+            df = df.withColumns({c: F.coalesce(known(c), F.lit(self.prior if n == "share" else 0.0)) for c, n in names.items()})
+        return df
 
     def score(self, prefix: str = "") -> Column:
         """Log odds of block over columns of FEATURES."""
@@ -184,29 +185,28 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: fl
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", train_rows: int = TRAIN_ROWS, least: int = 20) -> UrlModel:
-    """Fits the trees on at most train_rows labelled URLs (label 1: block), the statistics on the same.
+    """Fits the trees on at most train_rows labelled URLs (label 1: block); the statistics cover all of them.
 
-    A suffix or section with fewer than least sampled URLs gets the mean share.
+    A suffix or section with fewer than least URLs gets the mean share.
     """
     known = labelled.where(F.col(label).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(label).cast("double").alias("label"))
-    sample = with_features(known.orderBy(F.xxhash64("url"), "url").limit(train_rows)).select("label", "suffix", "section", *LEXICAL)
-    rows = sample.collect()
-    if not rows:
-        return UrlModel(-1.0, 0.5)
-    y = np.array([r["label"] for r in rows])
-    prior = float(y.mean())
-    if prior in (0.0, 1.0):
-        return UrlModel(2 * prior - 1, prior)
-    shares, columns = {}, [np.array([[float(r[f]) for f in LEXICAL] for r in rows])]
+    known = written(with_features(known).select("url", "label", "suffix", "section"), "labelled")
+    total = known.agg(F.count("*").alias("n"), F.avg("label").alias("prior")).first()
+    prior = float(total["prior"] or 0.0)
+    if not total["n"] or prior in (0.0, 1.0):
+        forget(known)
+        return UrlModel(2 * prior - 1, prior) if total["n"] else UrlModel(-1.0, 0.5)
+    model = UrlModel(0.0, prior)
     for kind in ("suffix", "section"):
-        keys = np.array([r[kind] for r in rows])
-        names, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-        blocked = np.bincount(at, y)
-        share = (blocked + 10 * prior) / (n + 10)
-        columns.append(np.stack([np.where(n < least, prior, share)[at], np.where(n < least, 0.0, np.log1p(n))[at]], 1))
-        shares[kind] = {str(k): (float(x), float(np.log1p(c))) for k, x, c in zip(names, share, n, strict=True) if c >= least}
-    base, trees = grow(np.concatenate(columns, 1), y)
-    return UrlModel(base, prior, trees, shares)
+        counts = known.groupBy(F.col(kind).alias("key")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).where(F.col("n") >= least)
+        share = (F.col("blocked") + 10 * prior) / (F.col("n") + 10)
+        # written before they are joined, so that the engine knows their size and can split a hot key
+        model.shares[kind] = written(counts.select("key", share.alias("share"), F.log1p("n").alias("log_count")), f"url-{kind}")
+    sample = with_features(known.select("url", "label").orderBy(F.xxhash64("url"), "url").limit(train_rows))
+    rows = model.with_shares(sample).select("label", *FEATURES).orderBy(*FEATURES, "label").collect()
+    forget(known)
+    model.base, model.trees = grow(np.array([[float(r[f]) for f in FEATURES] for r in rows]), np.array([r["label"] for r in rows]))
+    return model
 
 
 def by_seed_words(df: DataFrame, url: str = "url") -> DataFrame:
@@ -218,8 +218,7 @@ def by_seed_words(df: DataFrame, url: str = "url") -> DataFrame:
 
 def scored(df: DataFrame, model: UrlModel, url: str = "url", prefix: str = "_url_") -> DataFrame:
     """Adds prefix + host, path and score."""
-    out = with_features(df, url, prefix)
-    out = out.withColumns({prefix + f: c for f, c in model.inputs(prefix).items() if f not in LEXICAL})
+    out = model.with_shares(with_features(df, url, prefix), prefix)
     out = out.withColumn(f"{prefix}score", model.score(prefix))
     extra = [prefix + c for c in ("u", "suffix", "section", *FEATURES)]
     return out.drop(*extra)
