@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one per block element.  A line weighs as much as
 its text, or nothing if it stands in a menu, header, footer, sidebar, notice,
-advert, form or reader comment, outside the page's article where there is one,
+advert, form or reader comment, outside all of the page's articles and its main part where it has any,
 or (where there is none) mostly in links.  The sums of weights over sliding
 windows of lines surge where the main text begins and dive to nothing where it
 ends; lines of weight between a surge and its dive are kept.
@@ -195,10 +195,10 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
-    region = max((r for _, w, _, r in lines if w), default=0)
+    region = any(r for _, w, _, r in lines if w)
     weights = []
     for _, weight, linked, r in lines:
-        weights.append(0 if r < region or not region and 2 * linked > weight else weight)
+        weights.append(0 if region and not r or not region and 2 * linked > weight else weight)
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     # an article's own marks say where text is; without them a surge must be high, or as high as the page has
     least = 1 if region else min(surge, max(sums, default=0))
