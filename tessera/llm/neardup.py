@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import forget, written
 from tessera.llm.components import components
-from tessera.llm.wordcache import WordCache
 
 BANDS, ROWS = 40, 4
 SHINGLE = 5
@@ -56,7 +55,7 @@ class Shingler:
 
         digest = xxhash.xxh3_64_intdigest
         self.window = window
-        self.known = WordCache(lambda ws: [digest(w) for w in ws], 400_000)
+        self.digest = digest
         self.odd = _mix(np.arange(1, window + 1, dtype="uint64") * _U(0x9E3779B97F4A7C15)) | _U(1)
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -64,10 +63,7 @@ class Shingler:
         n = len(words)
         if not n:
             return np.zeros(0, "uint64")
-        distinct = set(words)
-        if self.known.learn(distinct):
-            self.known.learn(distinct)
-        ids = np.fromiter(map(self.known.__getitem__, words), "uint64", n)
+        ids = np.fromiter(map(self.digest, words), "uint64", n)
         with np.errstate(over="ignore"):
             if n < self.window:
                 # a short sequence is one shingle, never equal to a full window
@@ -80,7 +76,7 @@ class Shingler:
 
 @cache
 def shingler() -> Shingler:
-    """One for all tasks of a worker process, so that the words it knows are kept."""
+    """One for all tasks of a worker process."""
     return Shingler()
 
 

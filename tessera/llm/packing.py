@@ -3,22 +3,25 @@
 Texts are tokenized once, where they lie.  What moves is one small row per
 document: its id, its length and a checksum per piece (or the ids, if asked
 for).  The rows are dealt round-robin into even parts of a stated size, so no
-key, however frequent, makes a part larger; each part is packed by itself with
-a fixed number of open bins, so memory does not depend on the input.  Within a
-part the pieces arrive longest first, equal ones in the order of their
-checksums: this wastes least, and a task that runs again after a lost executor
-packs alike.
+key, however frequent, makes a part larger.  Each part is packed by itself, by
+bounded-space online best fit: pieces arrive in the order of their checksums,
+which has nothing to do with their sizes, wait in a buffer of a fixed number of
+pieces that is emptied longest first, and go to one of a fixed number of open
+bins; where a bin more would be open, the fullest closes.  Neither number
+depends on the input, and a task that runs again after a lost executor packs
+alike.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,9 @@ from tessera.llm.common import tokenizer_path
 from tessera.llm.wordcache import WordCache
 
 LENGTH = 2048
-OPEN_BINS = 32_768
+#: Bins that are open at once, pieces that wait to be packed, and documents in a part.
+OPEN_BINS = 512
+BUFFER = 1024
 PART_ROWS = 32_768
 
 
@@ -43,8 +48,33 @@ def _byte_marks() -> list[str]:
     return [marks[b] for b in range(256)]
 
 
+#: How the tokenizers that WordEncoder understands change texts and cut words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def works_by_words(description: dict) -> bool:
+    """Whether a tokenizer's own description proves that words may be encoded one by one.
+
+    It must compose, lower-case and cut texts as above, merge by plain BPE
+    without chance, and have no special strings but those that begin with <|.
+    """
+    model = description["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in description["added_tokens"])
+    return plain and special and description["normalizer"] == NORMALIZER and description["pre_tokenizer"] == PRE_TOKENIZER
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that lower-cases, never looks across white space and drops it.
+    """Ids of whole texts, word by word where the tokenizer is proved to work so, else by the tokenizer itself.
 
     Texts are cut at ASCII white space and each distinct word is encoded once
     per cache.  If a text has only characters below U+0300 (each its own
@@ -53,9 +83,6 @@ class WordEncoder:
     tokenizer's model.  Words of other texts go through the whole tokenizer.
     """
 
-    #: How the vocabulary's tokenizer cuts words.
-    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+"
-
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
@@ -63,30 +90,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = works_by_words(json.loads(self.tokenizer.to_str()))
         self.marks = _byte_marks()
-        self.cut = regex.compile(self.PARTS).findall
+        self.cut = regex.compile(PARTS).findall
         self.odd = re.compile(r"[\u0300-\U0010ffff]|<\|").search
-        self.parts = WordCache(self._merge, 400_000)
-        self.lowered = WordCache(self._join, 700_000)
+        self.parts = WordCache(self._merge, 1_000_000)
+        self.lowered = WordCache(self._join, 1_600_000)
         self.raw = WordCache(self._whole, 50_000)
 
     def _merge(self, parts: list[str]) -> list[bytes]:
         marks, merge = self.marks, self.tokenizer.model.tokenize
-        return [array("I", [t.id for t in merge("".join([marks[b] for b in p.encode()]))]).tobytes() for p in parts]
+        written = [p if p.isascii() and p.isprintable() else "".join([marks[b] for b in p.encode()]) for p in parts]
+        return [array("I", [t.id for t in merge(p)]).tobytes() for p in written]
 
     def _join(self, words: list[bytes]) -> list[bytes]:
-        cuts = [self.cut(w.decode()) for w in words]
-        parts = {p for c in cuts for p in c}
-        if self.parts.learn(parts):
-            self.parts.learn(parts)
-        return [b"".join(map(self.parts.__getitem__, c)) for c in cuts]
+        """Ids of lower-cased words; most are letters and perhaps a mark, which need no pattern to be cut."""
+        cut = self.cut
+        cuts = [
+            (w.decode(),) if w.isalpha() else (w[:-1].decode(), chr(w[-1])) if w[:-1].isalpha() and w[-1] in b".,;:!?" else cut(w.decode())
+            for w in words
+        ]
+        parts = self.parts.known(cuts)
+        return [b"".join(map(parts.__getitem__, c)) for c in cuts]
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return self._library([w.decode() for w in words])
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return self._library(texts)
         # nothing here makes cycles, and a collection would walk the caches again and again
         collects = gc.isenabled()
         gc.disable()
@@ -97,14 +133,10 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [(self.lowered, t.lower().encode().split()) if self._plain(t) else (self.raw, t.encode().split()) for t in texts]
-        new: dict[int, set[bytes]] = {id(self.lowered): set(), id(self.raw): set()}
-        for known, words in cuts:
-            new[id(known)].update(filterfalse(known.__contains__, words))
-        for known in (self.lowered, self.raw):
-            if known.learn(new[id(known)]):
-                known.learn({w for k, words in cuts if k is known for w in words})
-        return [b"".join(map(known.__getitem__, words)) for known, words in cuts]
+        cuts = [(True, t.lower().encode().split()) if self._plain(t) else (False, t.encode().split()) for t in texts]
+        lowered = self.lowered.known(words for plain, words in cuts if plain)
+        raw = self.raw.known(words for plain, words in cuts if not plain)
+        return [b"".join(map((lowered if plain else raw).__getitem__, words)) for plain, words in cuts]
 
     def _plain(self, text: str) -> bool:
         return "<|" not in text if text.isascii() else not self.odd(text)
@@ -127,7 +159,7 @@ class BestFit:
 
     def __init__(self, length: int = LENGTH, open_bins: int = OPEN_BINS):
         self.length, self.most = length, open_bins
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.bins: list[list[int]] = [[] for _ in range(length + 1)]
 
     def _take(self, free: int) -> int:
@@ -148,6 +180,7 @@ class BestFit:
             self.made += 1
             if self.open >= self.most and size < self.length:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
         left = free - size
         if left:
             if not self.bins[left]:
@@ -157,6 +190,13 @@ class BestFit:
         return where, self.length - free
 
 
+def placed(bins: BestFit, pieces: Iterator[tuple], buffer: int = BUFFER) -> Iterator[list[tuple]]:
+    """Lists of (bin, offset, piece) of the pieces, tuples that begin with their size, as a full buffer of them is emptied."""
+    while waiting := list(islice(pieces, buffer)):
+        waiting.sort(key=lambda p: -p[0])
+        yield [(*bins.add(p[0]), p) for p in waiting]
+
+
 def _tokenized(df: DataFrame, text: str, tokenizer: str, length: int, keep_ids: bool, batch: int = 128):
     fields = [T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]
     kind = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * keep_ids)
@@ -183,6 +223,7 @@ def pack(
     tokenizer: str = "word_bpe_49k.json",
     length: int = LENGTH,
     open_bins: int = OPEN_BINS,
+    buffer: int = BUFFER,
     part_rows: int = PART_ROWS,
     keep_ids: bool = False,
     rows: int | None = None,
@@ -206,20 +247,17 @@ def pack(
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        docs = [x for f in held for x in zip(f["doc_id"], f["n"], f["crcs"], f["ids"] if keep_ids else repeat(None), strict=False)]
-        docs.sort(key=lambda d: (-(d[1] % length), d[2][0], d[1], str(d[0])))
-        bins, base, out = BestFit(length, open_bins), TaskContext.get().partitionId() << 40, []
-        for key, n, crcs, ids in docs:
-            for piece, start in enumerate(range(0, n, length)):
-                size = min(length, n - start)
-                where, offset = bins.add(size)
-                row = (None if pd.isna(key) else key, piece, start, size, crcs[piece], base + where, offset)
+        docs = [x for f in frames for x in zip(f["doc_id"], f["n"], f["crcs"], f["ids"] if keep_ids else repeat(None), strict=False)]
+        docs.sort(key=lambda d: (*d[2][:1], d[1], tuple(d[2]), str(d[0])))
+        arriving = ((min(length, d[1] - start), i, start) for i, d in enumerate(docs) for start in range(0, d[1], length))
+        bins, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
+        for found in placed(bins, arriving, buffer):
+            out = []
+            for where, offset, (size, i, start) in found:
+                key, _, crcs, ids = docs[i]
+                row = (None if pd.isna(key) else key, start // length, start, size, crcs[start // length], base + where, offset)
                 out.append(row + ((np.frombuffer(ids, "<u4", size, 4 * start).astype("int32"),) if keep_ids else ()))
-            if len(out) >= 20_000:
-                yield _frame(out, keep_ids)
-                out = []
-        yield _frame(out, keep_ids)
+            yield _frame(out, keep_ids)
 
     return small.repartition(parts).mapInPandas(run, schema)
 

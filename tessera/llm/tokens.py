@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -55,18 +54,18 @@ class PieceCounter:
             and len(self.model.encode("")) == 0
         )
         self.feed = self.model.piece_to_id("<0x0A>")
-        self.known = WordCache(self._merge)
         self.single: frozenset[bytes] = frozenset()
         if self.cuts:
             keys = [p[1:].encode() if p[:1] == MARK and MARK not in p[1:] else p.encode() if p[:1] == MARK else b"\n" + p.encode() for p in plain]
             self.single = frozenset(k for k, n in zip(keys, self._merge(keys), strict=True) if n == 1 + (k[:1] == b"\n"))
-            self._reset()
+        self.known = WordCache(self._counted, 1_000_000)
 
-    def _reset(self) -> None:
-        self.known.clear()
-        for k in self.single:
-            self.known[k] = 1 + (k[:1] == b"\n")
-        self.known |= {b"": 1, b"\n": 1}
+    def _counted(self, keys: list[bytes]) -> list[int]:
+        """Tokens of each pre-token: those that are one are counted, the rest merged."""
+        short = {k: 1 + (k[:1] == b"\n") for k in keys if k in self.single} | {b"": 1, b"\n": 1}
+        rest = [k for k in keys if k not in short]
+        short.update(zip(rest, self._merge(rest), strict=True))
+        return [short[k] for k in keys]
 
     def _merge(self, keys: list[bytes]) -> list[int]:
         """Tokens of each pre-token, all merged in one call: a line feed between them is one token and stops merges."""
@@ -94,14 +93,8 @@ class PieceCounter:
         if not self.cuts:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         parts = [self.pretokens(t) if t else ([], 0) for t in texts]
-        new: set[bytes] = set()
-        for p, _ in parts:
-            new.update(filterfalse(self.known.__contains__, p))
-        if len(self.known) + len(new) > self.known.most:
-            self._reset()
-            new = {k for p, _ in parts for k in p}
-        self.known.learn(new)
-        return [sum(map(self.known.__getitem__, p)) - over for p, over in parts]
+        known = self.known.known(p for p, _ in parts)
+        return [sum(map(known.__getitem__, p)) - over for p, over in parts]
 
 
 @cache

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from tessera.llm import packing
 from tessera.llm.common import table, tokenizer_path
 from tessera.llm.queries import op1_best_fit_packing
+from tessera.llm.wordcache import WordCache
 from tests.llm.helpers import no_documents, odd_documents
 
 
@@ -98,3 +99,30 @@ def test_cache_that_overflows_changes_nothing():
     want = e.encode(texts)
     e.lowered.most = e.parts.most = 50
     assert [e.encode([t])[0] for t in texts] == want
+
+
+def test_cache_keeps_what_is_asked_for_again():
+    asked = []
+    cache = WordCache(lambda ws: asked.extend(ws) or [w * 2 for w in ws], 20, longest=5)
+    for i in range(200):
+        assert cache.known([["hot", f"w{i}"], [f"v{i}", "hot"]]) == {w: w * 2 for w in ("hot", f"w{i}", f"v{i}")}
+        assert len(cache.young) + len(cache.old) <= 30
+    assert asked.count("hot") == 1
+    assert cache.known([["toolong"]]) == {"toolong": "toolongtoolong"} and "toolong" not in cache.young
+
+
+def test_bins_close_with_the_registered_parameters():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, packing.LENGTH + 1, packing.PART_ROWS).tolist()
+    bins = packing.BestFit()
+    found = [x for part in packing.placed(bins, iter([(s,) for s in sizes])) for x in part]
+    assert len(found) == len(sizes) and bins.closed > 0 and bins.open <= packing.OPEN_BINS
+    assert bins.made <= 1.01 * -(-sum(sizes) // packing.LENGTH)
+
+
+def test_a_tokenizer_that_is_not_proved_encodes_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["Hello World, this is it", "", "  two  spaces\n\nÉté <|endoftext|>"]
+    assert not e.by_words and packing.WordEncoder(tokenizer_path("word_bpe_49k.json")).by_words
+    assert [np.frombuffer(f, "<u4").tolist() for f in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
