@@ -64,7 +64,7 @@ class PieceCounter:
         """Tokens of each pre-token: those that are one are counted, the rest merged."""
         short = {k: 1 + (k[:1] == b"\n") for k in keys if k in self.single} | {b"": 1, b"\n": 1}
         rest = [k for k in keys if k not in short]
-        short.update(zip(rest, self._merge(rest), strict=True))
+        short.update(zip(rest, self._merge(rest) if rest else [], strict=True))
         return [short[k] for k in keys]
 
     def _merge(self, keys: list[bytes]) -> list[int]:
