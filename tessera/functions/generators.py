@@ -38,8 +38,22 @@ def selected(v: Column, mask: int = 1) -> Column:
     return masked(x, mask) == mask
 
 
+#: Odd divisors that are tried at once.
+TRIED = 512
+
+
 def is_prime(n: Column) -> Column:
-    """Trial division by odd numbers.  As published: 1 counts as prime, 0 does not."""
+    """Trial division by odd numbers.  As published: 1 counts as prime, 0 does not.
+
+    Divisors are made a few hundred at a time, and no more of them once one
+    divides, so that a row holds little whatever its size.
+    """
     root = F.floor(F.sqrt(n.cast("double"))).cast("long") + 1
-    divided = F.exists(F.sequence(F.lit(3).cast("long"), F.greatest(root, F.lit(3).cast("long")), F.lit(2).cast("long")), lambda f: (f * f <= n) & (n % f == 0))
+    three, step = F.lit(3).cast("long"), 2 * TRIED
+    starts = F.sequence(three, F.greatest(root, three), F.lit(step).cast("long"))
+
+    def divides(f: Column) -> Column:
+        return (f * f <= n) & (n % f == 0)
+
+    divided = F.exists(starts, lambda s: F.exists(F.sequence(s, F.least(s + (step - 2), F.greatest(root, s)), F.lit(2).cast("long")), divides))
     return F.when(n == 2, True).when(n % 2 == 0, False).otherwise(~divided)

@@ -46,10 +46,10 @@ def prefix_sum(
     placed = written(placed.withColumn(_AT, F.monotonically_increasing_id()), "scan").withColumn(_PART, F.shiftright(_AT, 33))
     before = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, _PART).agg(F.sum(_V).alias("s"))
-    bases = sums.select(*[F.col(c).alias(f"_scan_{c}") for c in by], F.col(_PART).alias("_scan_p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias(_BASE))
+    bases = sums.select(*[F.col(c).alias(f"_scan_by{i}") for i, c in enumerate(by)], F.col(_PART).alias("_scan_p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias(_BASE))
     same = F.col(_PART) == F.col("_scan_p")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_scan_{c}"))
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_scan_by{i}"))
     inside = Window.partitionBy(*by, _PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, end)
     out = placed.join(bases, same).withColumn(name, F.col(_BASE) + F.coalesce(F.sum(_V).over(inside), F.lit(0)) + F.lit(initial))
     return out.select(*df.columns, name)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.scan import numbered
+from tessera.operators.scan import numbered, prefix_sum
 
 
 def ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
@@ -20,11 +20,38 @@ def checksum_places(n: int) -> list[int]:
     return [0, 478, n // 2, n - 324, n - 1]
 
 
-def order_statistics(df: DataFrame, key: str, places: Sequence[int]) -> DataFrame:
-    """(place, value) of the sorted values; a place given twice counts twice."""
-    wanted = F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: p == F.col("rank")))
-    few = ranked(df.select(key), [key]).where(F.col("rank").isin(list(places)))
-    return few.select(wanted.alias("place"), F.col(key).alias("value"))
+def order_statistics(df: DataFrame, key: str, places: Sequence[int], accuracy: int = 20_000) -> DataFrame:
+    """(place, value) of the ascending values, nulls first; a place given twice counts twice, one outside the table not at all.
+
+    Nothing is sorted as a whole.  A first pass finds approximate percentiles
+    around each place, whose error in places is bounded; a second counts what
+    lies below each of these brackets and how often each value inside them
+    occurs, which is the only thing that moves.  A bracket that does not hold
+    its place, which the bound rules out, would be an error.
+    """
+    total, nulls = df.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    wanted = [p for p in places if 0 <= p < total]
+    kind = df.schema[key].dataType
+    schema = f"place long, value {kind.simpleString()}"
+    spark = df.sparkSession
+    empty = spark.createDataFrame([(p, None) for p in wanted if p < nulls], schema)
+    known = sorted({p for p in wanted if p >= nulls})
+    if not known:
+        return empty
+    # a percentile may be off by n / accuracy places
+    shares = [min(1.0, max(0.0, (p - nulls) / (total - nulls) + side / accuracy)) for p in known for side in (-2, 2)]
+    edges = df.agg(F.percentile_approx(key, shares, accuracy)).first()[0]
+    brackets = [(float("-inf") if low == 0.0 else a, float("inf") if high == 1.0 else b) for low, high, a, b in zip(shares[::2], shares[1::2], edges[::2], edges[1::2], strict=True)]
+    value = F.col(key)
+    above = [F.lit(True) if a == float("-inf") else value >= F.lit(a).cast(kind) for a, _ in brackets]
+    upto = [F.lit(True) if b == float("inf") else value <= F.lit(b).cast(kind) for _, b in brackets]
+    below = df.agg(*[F.count_if(~c).alias(f"b{i}") for i, c in enumerate(above)]).first()
+    inside = F.array_compact(F.array(*[F.when(a & b, F.lit(i)) for i, (a, b) in enumerate(zip(above, upto, strict=True))]))
+    counts = df.where(value.isNotNull()).select(F.explode(inside).alias("at"), value.alias("value")).groupBy("at", "value").agg(F.count("*").alias("n"))
+    summed = prefix_sum(counts, "n", ["value"], ["at"], spread=True, name="upto")
+    goals = spark.createDataFrame([(p, i, p - nulls - below[i]) for p in wanted if p >= nulls for i in (known.index(p),)], "place long, at int, inside long")
+    found = summed.join(F.broadcast(goals), "at").where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+    return found.select("place", "value").union(empty)
 
 
 def checksum(df: DataFrame, key: str, n: int, name: str = "checksum") -> DataFrame:

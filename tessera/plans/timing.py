@@ -49,7 +49,7 @@ def read_results(spark: SparkSession, path: str, machine: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
     name = F.trim(F.regexp_replace(F.get("lines", F.lit(0)), "^#", ""))
     heads = F.split(F.get("lines", F.lit(2)), "\t")
-    rows = files.select(name.alias("benchmark"), heads.alias("heads"), F.explode(F.slice("lines", 4, 1_000_000)).alias("line")).where("trim(line) <> ''")
+    rows = files.select(name.alias("benchmark"), heads.alias("heads"), F.explode(F.slice("lines", F.lit(4), F.greatest(F.size("lines") - 3, F.lit(0)))).alias("line")).where("trim(line) <> ''")
     cells = rows.withColumn("cells", F.split("line", "\t"))
     flat = cells.select("benchmark", F.expr("cells[0]").cast("int").alias("ncpu"), F.posexplode("cells").alias("at", "cell"), "heads")
     flat = flat.where("at > 0 and trim(cell) <> ''")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions.generators import is_prime, random_cos, random_mul, selected, xorshift32
 from tessera.operators import compact as compacting
 from tessera.operators import matrix, reduce, scan, sort
+from tessera.plans.storage import reserved
+from tessera.sources.matrices import dominant, read_written, square, write_matrices
 from tessera.sources.ranges import START, scan_input, sort_input, sum_input
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,10 +83,10 @@ def sum_array_by_flag(spark, sf_dir):
 
 
 @registered(
-    "SELECT CAST(sum(v) AS BIGINT) AS total FROM (WITH src AS (SELECT CAST(1073741824 + range AS UBIGINT) AS x FROM range(0, 200000)), " + _STEPS_COS + " SELECT v FROM g)"
+    "SELECT CAST(sum(v) AS BIGINT) AS total FROM (WITH src AS (SELECT CAST(1073741824 + range AS UBIGINT) AS x FROM range(0, 33555666)), " + _STEPS_COS + " SELECT v FROM g)"
 )
 def sum_generated(spark, sf_dir):
-    return reduce.total(sum_input(spark, 200_000), "v")
+    return reduce.total(sum_input(spark, 33_555_666), "v")
 
 
 @registered(
@@ -131,9 +133,13 @@ def prime_count_orders(spark, sf_dir):
     return reduce.count_where(_table(spark, sf_dir, "orders"), is_prime(F.col("o_orderkey")), name="primes")
 
 
-@registered(f"SELECT count(*) AS primes FROM range(2, 50002) t(n) WHERE {_prime_sql('n')}")
+@registered(
+    """WITH small AS (SELECT n FROM range(3, 1024, 2) t(n) WHERE len(list_filter(range(3, CAST(floor(sqrt(n)) AS BIGINT) + 1, 2), lambda f: n % f = 0)) = 0),
+ struck AS (SELECT DISTINCT s.n * k.range AS n FROM small s, range(3, 349526, 2) k WHERE k.range >= s.n AND s.n * k.range < 1048578)
+ SELECT 1 + (SELECT count(*) FROM range(3, 1048578, 2)) - (SELECT count(*) FROM struck) AS primes"""
+)
 def prime_count_range(spark, sf_dir):
-    return reduce.count_primes(spark, 2, 50_000)
+    return reduce.count_primes(spark, 2, 1_048_576)
 
 
 # Prefix sums
@@ -171,12 +177,12 @@ def scan_by_supplier(spark, sf_dir):
 
 
 @registered(
-    "SELECT CAST(m AS INTEGER) AS m, CAST(max(p) AS BIGINT) AS last, CAST(bit_xor(p) AS BIGINT) AS mixed FROM (WITH src AS (SELECT m.range AS m, CAST(i.range AS UBIGINT) AS x FROM range(0, 4) m, range(0, 65536) i), "
+    "SELECT CAST(m AS INTEGER) AS m, CAST(max(p) AS BIGINT) AS last, CAST(bit_xor(p) AS BIGINT) AS mixed FROM (WITH src AS (SELECT m.range AS m, CAST(i.range AS UBIGINT) AS x FROM range(0, 4) m, range(0, 4194304) i), "
     + _STEPS_XOR
     + " SELECT m, CAST(sum(v) OVER (PARTITION BY m ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p FROM g) GROUP BY m"
 )
 def scan_generated(spark, sf_dir):
-    out = scan.prefix_sum(scan_input(spark, 65_536, 4), "v", ["i"], ["m"], spread=True)
+    out = scan.prefix_sum(scan_input(spark, 4_194_304, 4), "v", ["i"], ["m"], spread=True)
     return out.groupBy("m").agg(F.max("prefix").alias("last"), F.bit_xor("prefix").alias("mixed"))
 
 
@@ -206,6 +212,20 @@ def compact_count(spark, sf_dir):
     return reduce.count_where(_table(spark, sf_dir, "orders"), selected(F.col("o_orderkey")), name="kept")
 
 
+@registered(
+    "WITH src AS (SELECT m.range AS m, i.range AS i, CAST(i.range AS UBIGINT) AS x FROM range(0, 4) m, range(0, 4194304) i), "
+    + _STEPS_XOR.replace("g AS (SELECT *,", "g0 AS (SELECT m, i,")
+    + ", h AS (SELECT m, i, CAST(v AS UBIGINT) AS x, v FROM g0), "
+    + _STEPS_SELECTED.replace("a AS", "sa AS").replace("b AS", "sb AS").replace("FROM src", "FROM h").replace("FROM a)", "FROM sa)").replace("FROM b)", "FROM sb)")
+    + ", k AS (SELECT m, v, row_number() OVER (PARTITION BY m ORDER BY i) - 1 AS index FROM g WHERE keep)"
+    " SELECT CAST(m AS INTEGER) AS m, count(*) AS kept, CAST(max(index) AS BIGINT) AS last, CAST(bit_xor(xor(v, index)) AS BIGINT) AS mixed FROM k GROUP BY m"
+)
+def compact_generated(spark, sf_dir):
+    """Four arrays of the published size; every kept value's index goes into mixed."""
+    out = compacting.compact(scan_input(spark, 4_194_304, 4), selected(F.col("v")), ["i"], ["m"], spread=True)
+    return out.groupBy("m").agg(F.count("*").alias("kept"), F.max("index").alias("last"), F.bit_xor(F.col("v").bitwiseXOR(F.col("index"))).alias("mixed"))
+
+
 # Sorting
 
 
@@ -228,10 +248,10 @@ def sort_order_stats(spark, sf_dir):
 
 @registered(
     "SELECT CAST(sum(v) AS BIGINT) AS checksum FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rank FROM"
-    f" (WITH src AS (SELECT CAST(range AS UBIGINT) AS x FROM range(0, 65536)), {_STEPS_MUL} SELECT v FROM g)) WHERE rank IN (0, 478, 32768, 65212, 65535)"
+    f" (WITH src AS (SELECT CAST(range AS UBIGINT) AS x FROM range(0, 1048576)), {_STEPS_MUL} SELECT v FROM g)) WHERE rank IN (0, 478, 524288, 1048252, 1048575)"
 )
 def sort_checksum(spark, sf_dir):
-    return sort.checksum(sort_input(spark, 65_536), "x", 65_536)
+    return sort.checksum(sort_input(spark, 1_048_576), "x", 1_048_576)
 
 
 @registered(
@@ -270,9 +290,21 @@ def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BLOCK = (
-    "b AS (SELECT 0 AS m, CAST(vec_id AS INTEGER) AS r, CAST(i.range AS INTEGER) AS c, CAST(embedding[i.range + 1] AS DOUBLE) AS v"
-    " FROM embeddings, range(0, 64) i WHERE vec_id < 64)"
+    "b AS (SELECT CAST(vec_id // 64 AS INTEGER) AS m, CAST(vec_id % 64 AS INTEGER) AS r, CAST(i.range AS INTEGER) AS c,"
+    " CAST(embedding[i.range + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) i)"
 )
+#: The factors of the matrices of _gram(), one elimination step after another, over lists of rows.
+_FACTORS = """WITH RECURSIVE
+e AS (SELECT label AS m, vec_id AS k, CAST(i.range AS INTEGER) AS c, CAST(embedding[i.range + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) i),
+g AS (SELECT x.m, x.c AS r, y.c, sum(x.v * y.v) + CASE WHEN x.c = y.c THEN 64 ELSE 0 END AS v FROM e x JOIN e y ON x.m = y.m AND x.k = y.k GROUP BY x.m, x.c, y.c),
+w AS (SELECT m, r, list(v ORDER BY c) AS x FROM g GROUP BY m, r),
+f AS (SELECT m, 1 AS k, list(x ORDER BY r) AS a FROM w GROUP BY m
+ UNION ALL SELECT m, k + 1, list_transform(a, lambda x, i: CASE WHEN i <= k THEN x ELSE
+   list_transform(x, lambda v, j: CASE WHEN j < k THEN v WHEN j = k THEN v / a[k][k] ELSE v - x[k] / a[k][k] * a[k][j] END) END) FROM f WHERE k < 64),
+z AS (SELECT m, a FROM f WHERE k = 64),
+lu AS (SELECT m, CAST(i.range AS INTEGER) AS r, CAST(j.range AS INTEGER) AS c, a[i.range + 1][j.range + 1] AS v FROM z, range(0, 64) i, range(0, 64) j),
+p AS (SELECT l.m, l.r, u.c, sum(CASE WHEN l.r = l.c THEN 1 ELSE l.v END * u.v) AS v FROM lu l JOIN lu u ON l.m = u.m AND l.c = u.r AND l.c <= l.r AND u.c >= u.r GROUP BY l.m, l.r, u.c)
+"""
 
 
 @registered(f"WITH {_BLOCK} SELECT m, r, c, round(v, 6) AS v FROM b")
@@ -280,7 +312,7 @@ def matrix_from_embeddings(spark, sf_dir):
     return _block(spark, sf_dir).withColumn("v", F.round("v", 6))
 
 
-@registered(f"WITH {_BLOCK} SELECT 0 AS m, x.r, y.r AS c, round(sum(x.v * y.v), 6) AS v FROM b x JOIN b y ON x.c = y.c GROUP BY x.r, y.r")
+@registered(f"WITH {_BLOCK} SELECT x.m, x.r, y.r AS c, round(sum(x.v * y.v), 6) AS v FROM b x JOIN b y ON x.m = y.m AND x.c = y.c GROUP BY x.m, x.r, y.r")
 def matrix_multiply(spark, sf_dir):
     b = _block(spark, sf_dir)
     return matrix.multiply(b, matrix.transposed(b)).withColumn("v", F.round("v", 6))
@@ -296,19 +328,58 @@ def lower_unit_triangle(spark, sf_dir):
     return matrix.lower_unit_triangle(_block(spark, sf_dir)).withColumn("v", F.round("v", 6))
 
 
-@registered()
+@registered(_FACTORS + "SELECT m, r, c, round(v, 6) + 0.0 AS v FROM lu")
 def lu_by_group(spark, sf_dir):
-    return matrix.lu(_gram(spark, sf_dir)).withColumn("v", F.round("v", 6))
+    return matrix.lu(_gram(spark, sf_dir)).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
 
+@registered(_FACTORS + "SELECT m, r, c, round(v, 6) + 0.0 AS v FROM lu")
+def lu_by_tiles(spark, sf_dir):
+    """The same by tiles of 16, which do not divide a matrix's work among tasks of one key."""
+    return matrix.lu_tiled(_gram(spark, sf_dir), 16).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@registered()
+def lu_512(spark, sf_dir):
+    """A matrix of the larger published size in single precision, by tiles of 128."""
+    return matrix.lu_tiled(square(spark, 512, dominant(512)), 128, "float32")
 
-@registered("SELECT DISTINCT label AS m, true AS small FROM embeddings")
+
+@registered(_FACTORS + "SELECT g.m, sum(abs(g.v - coalesce(p.v, 0))) < 1e-6 AS small FROM g LEFT JOIN p USING (m, r, c) GROUP BY g.m")
 def lu_error(spark, sf_dir):
     a = _gram(spark, sf_dir)
     return matrix.reconstruction_error(a, matrix.lu(a)).select("m", (F.col("error") < 1e-6).alias("small"))
 
 
-@registered("SELECT DISTINCT label AS m, CAST(0 AS BIGINT) AS wrong FROM embeddings")
+@registered(_FACTORS + "SELECT g.m, count(*) FILTER (WHERE abs(g.v - coalesce(p.v, 0)) > 1e-4 OR isnan(p.v)) AS wrong FROM g LEFT JOIN p USING (m, r, c) GROUP BY g.m")
 def lu_verify(spark, sf_dir):
     a = _gram(spark, sf_dir)
     wrong = matrix.wrong_places(a, matrix.lu(a)).groupBy("m").agg(F.count("*").alias("n"))
     return a.select("m").distinct().join(wrong, "m", "left").select("m", F.coalesce("n", F.lit(0)).cast("long").alias("wrong"))
+
+
+@registered(
+    "WITH e AS (SELECT label AS m, vec_id AS k, CAST(i.range AS INTEGER) AS c, CAST(embedding[i.range + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) i)"
+    " SELECT CAST(x.m AS INTEGER) AS m, x.c AS r, y.c, round(sum(x.v * y.v) + CASE WHEN x.c = y.c THEN 64 ELSE 0 END, 6) + 0.0 AS v"
+    " FROM e x JOIN e y ON x.m = y.m AND x.k = y.k GROUP BY x.m, x.c, y.c"
+)
+def matrix_files(spark, sf_dir):
+    """Matrices written as text files and read again; labels are numbered from 0, so that m stays."""
+    path = reserved(spark, "matrix-files")
+    write_matrices(_gram(spark, sf_dir), path)
+    return read_written(spark, path).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@registered("SELECT CAST(vec_id // 64 AS INTEGER) AS m, CAST(64 AS INTEGER) AS n FROM embeddings GROUP BY 1")
+def matrix_size(spark, sf_dir):
+    return matrix.size(_block(spark, sf_dir))
+
+
+@registered(f"WITH {_BLOCK} SELECT m, c, round(v, 6) AS v FROM b WHERE r = 3 AND c BETWEEN 32 AND 63")
+def matrix_row_part(spark, sf_dir):
+    return matrix.row_part(_block(spark, sf_dir), 3, 32, 32).withColumn("v", F.round("v", 6))
+
+
+@registered(f"WITH {_BLOCK} SELECT m, round(v, 6) AS v FROM b WHERE r = 1 AND c = 2")
+def matrix_element(spark, sf_dir):
+    return matrix.element(_block(spark, sf_dir), 1, 2).withColumn("v", F.round("v", 6))

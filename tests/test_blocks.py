@@ -29,10 +29,3 @@ def test_all_embeddings_are_read(spark, name):
                 n += 1
                 assert got[m, r, c] == pytest.approx(block[r, c], abs=2e-6)
     assert n == len(got)
-
-
-@pytest.mark.parametrize("name", list(WANT))
-def test_the_sql_holds_the_first_matrix(spark, name):
-    duckdb.sql(f"create or replace view embeddings as select * from read_parquet('{FOLDER}/embeddings.parquet')")
-    want = duckdb.sql(f"select m, r, c, v from ({kernels.ORACLE_SQL[name]})").fetchall()
-    assert sorted(map(tuple, kernels.QUERIES[name](spark, FOLDER).where("m = 0").select("m", "r", "c", "v").collect())) == sorted(want)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.generators import is_prime, random_cos, selected
 from tessera.operators import compact, matrix, reduce, scan, sort
+from tessera.plans import storage
 from tessera.sources import matrices, ranges
 
 
@@ -23,8 +24,10 @@ def test_published_sums_and_counts(spark):
 def test_prime_counts_with_and_without_a_table(spark, monkeypatch):
     want = one(spark.range(5000, 9000).where(is_prime(F.col("id"))).agg(F.count("*")))
     assert one(reduce.count_primes(spark, 5000, 4000)) == want
-    monkeypatch.setattr(reduce, "MOST_PRIMES", 3)
-    assert one(reduce.count_primes(spark, 5000, 4000)) == want
+    assert one(reduce.count_primes(spark, 5000, 4000, segment=77)) == want
+    assert one(reduce.count_primes(spark, 5, 0)) == 0
+    far = 1 << 40
+    assert one(reduce.count_primes(spark, far, 2000)) == sum(all(n % f for f in range(3, 1 << 20, 2)) for n in range(far + 1, far + 60, 2)) + one(reduce.count_primes(spark, far + 60, 1940))
 
 
 def test_published_scan(spark):
@@ -156,3 +159,80 @@ def test_matrix_files(spark, tmp_path):
         (tmp_path / "bad" / "c.dat").write_text(text)
         with pytest.raises(Exception, match="."):
             matrices.read_matrices(spark, str(tmp_path / "bad")).collect()
+
+
+@pytest.mark.parametrize(("n", "tile"), [(1, 4), (4, 4), (33, 8), (40, 64)])
+def test_lu_by_tiles_is_lu(spark, n, tile):
+    a = matrices.square(spark, n, matrices.dominant(n), 3).where("r <= c or m <> 1")  # places left out are zeros
+    want, got = dense(matrix.lu(a), n), dense(matrix.lu_tiled(a, tile), n)
+    assert want.keys() == got.keys() and all(np.allclose(want[m], got[m]) for m in want)
+    assert matrix.lu_tiled(a.limit(0), tile).count() == 0
+
+
+def test_lu_by_tiles_of_the_published_size(spark):
+    a = matrices.square(spark, 512, matrices.dominant(512)).withColumn("v", F.col("v").cast("float"))
+    x, f = dense(a, 512)[0], dense(matrix.lu_tiled(a, 128, "float32"), 512)[0]
+    error = np.abs(x - (np.tril(f, -1) + np.eye(512)) @ np.triu(f)).sum()
+    assert error <= 10 and not math.isnan(error)
+
+
+def test_lu_keeps_the_kind_of_its_keys(spark):
+    rows = [(m, r, c, 1.0 + (r == c)) for m in (None, 1 << 40) for r in range(3) for c in range(3)]
+    a = spark.createDataFrame(rows, "m long, r int, c int, v double")
+    for f in (matrix.lu(a), matrix.lu_tiled(a, 2)):
+        assert {r["m"] for r in f.collect()} == {None, 1 << 40} and f.count() == 18
+    with pytest.raises(Exception, match="two values"):
+        matrix.lu(a.union(a)).collect()
+
+
+def test_generated_matrices(spark):
+    a = matrices.product_of_factors(spark, 9, 2)
+    assert all(r["error"] < 1e-9 for r in matrix.reconstruction_error(a, matrix.lu(a)).collect())
+    flat = dense(matrices.square(spark, 4, matrices.toeplitz()), 4)[0]
+    assert (flat == 10).all()
+    band = dense(matrices.square(spark, 4, matrices.toeplitz(lambda d: 1.0 / (d + 1))), 4)[0]
+    assert np.allclose(band, [[1 / (abs(i - j) + 1) for j in range(4)] for i in range(4)])
+
+
+def test_access_to_matrices(spark):
+    a = matrices.square(spark, 5, matrices.dominant(5), 2)
+    x = dense(a, 5)
+    assert {r["m"]: r["n"] for r in matrix.size(a).collect()} == {0: 5, 1: 5}
+    assert {r["m"]: r["v"] for r in matrix.element(a, 2, 3).collect()} == {m: x[m][2, 3] for m in x}
+    assert {(r["m"], r["c"]): r["v"] for r in matrix.row_part(a, 1, 2, 2).collect()} == {(m, c): x[m][1, c] for m in x for c in (2, 3)}
+
+
+def test_order_statistics_with_nulls_and_hot_values(spark):
+    rng = np.random.default_rng(5)
+    xs = [None] * 7 + [3.5] * 4000 + rng.normal(size=4000).tolist()
+    df = spark.createDataFrame([(x,) for x in rng.permutation(np.array(xs, object)).tolist()], "x double").repartition(5)
+    order = sorted(xs, key=lambda x: (x is not None, x))
+    places = [0, 6, 7, 8, 2000, 4000, 4007, 7000, len(xs) - 1, len(xs) - 1, len(xs), -1]
+    got = sorted((r["place"], r["value"]) for r in sort.order_statistics(df, "x", places, accuracy=50).collect())
+    assert got == sorted(((p, order[p]) for p in places if 0 <= p < len(xs)), key=lambda t: t[0])
+    assert sort.order_statistics(df.limit(0), "x", [0]).count() == 0
+
+
+def test_scopes_leave_nothing_behind(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    df = spark.range(5)
+    with storage.scope() as keep:
+        first, second = storage.written(df, "a"), storage.written(df, "b")
+        keep.append(second._tessera_path)
+    assert second.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|not exist"):
+        spark.read.parquet(first._tessera_path)
+    storage.forget(second)
+    assert before is None or before == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[2,1,512]"
+            getConf = staticmethod(dict)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(Cluster)
