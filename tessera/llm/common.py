@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.storage import forget, written
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "filtered", "forget", "table", "tokenizer_path", "words", "written"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "byte_marks", "filtered", "forget", "table", "tokenizer_path", "words", "written"]
 
 #: ASCII white space, the only word separators of these operators.
 SPACE = r"[\x20\x09-\x0D]"
@@ -52,3 +52,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def byte_marks() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if it shows, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    marks = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [marks[b] for b in range(256)]

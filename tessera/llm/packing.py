@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import tokenizer_path
+from tessera.llm.common import byte_marks, tokenizer_path
 from tessera.llm.wordcache import WordCache
 
 LENGTH = 2048
@@ -40,14 +40,6 @@ BUFFER = 1024
 PART_ROWS = 32_768
 
 
-def _byte_marks() -> list[str]:
-    """The character by which a byte-level vocabulary writes each byte: itself if it shows, else the next from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    marks = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return [marks[b] for b in range(256)]
-
-
 #: How the tokenizers that WordEncoder understands change texts and cut words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,7 +83,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_words = works_by_words(json.loads(self.tokenizer.to_str()))
-        self.marks = _byte_marks()
+        self.marks = byte_marks()
         self.cut = regex.compile(PARTS).findall
         self.odd = re.compile(r"[\u0300-\U0010ffff]|<\|").search
         self.parts = WordCache(self._merge, 1_000_000)

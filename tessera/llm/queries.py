@@ -67,7 +67,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hard).alias("text"),
     )
-    return chat.read_back(chat.format_chats(given.union(more)))
+    return chat.digests(given.union(more))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

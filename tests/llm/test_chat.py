@@ -43,7 +43,8 @@ def test_rendering_is_undone(turns):
     assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for _, t in turns]
 
 
-T = chat.load("byte_bpe_50k.json")
+T = chat._library("byte_bpe_50k.json")
+ENCODER = chat.OffsetEncoder("byte_bpe_50k.json")
 
 
 @settings(deadline=None, max_examples=300)
@@ -60,6 +61,32 @@ def test_mask_covers_the_trained_text_and_no_more(turns):
     assert (mask == inside).all()
 
 
+def same_as_library(texts):
+    for text, (ids, starts, ends) in zip(texts, ENCODER.encode(texts), strict=True):
+        e = T.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == e.offsets
+
+
+ODD = st.text(st.one_of(st.characters(codec="utf-8", max_codepoint=0x2FF), st.sampled_from("\x1c\x1f\x85\xa0  '\n\t\u3000\u0301\U0001f600中")), max_size=30)
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.lists(st.one_of(ODD, NASTY, st.sampled_from(["'s", "'ve", "<|endoftext|>", "the ", "  word"])), max_size=6).map("".join), max_size=4))
+def test_ids_and_offsets_are_the_library_s(texts):
+    assert ENCODER.by_parts
+    same_as_library(texts)
+    same_as_library([chat.render([("user", t), ("assistant", t)])[0] for t in texts])
+
+
+def test_parts_of_a_conversation_give_what_the_whole_gives(spark, small):
+    df = table(spark, small, "conversations").where("conv_id < 40")
+    df = df.union(df.selectExpr("null", "turn", "role", "concat(text, ' é\\\\')"))
+    whole = sorted(map(tuple, chat.read_back(chat.format_chats(df)).collect()), key=str)
+    assert whole == sorted(map(tuple, chat.digests(df).collect()), key=str) == sorted(map(tuple, chat.digests(df, most=50, batch=3).collect()), key=str)
+    assert chat.digests(df.limit(0)).count() == 0
+
+
 def test_nulls_ties_and_long_turns(spark):
     rows = [
         (1, 0, "user", None, 1), (1, 1, None, "x", 1), (1, 1, "assistant", "b", 1), (1, 1, "assistant", "a", 1), (1, 1, "assistant", "a", 1),
