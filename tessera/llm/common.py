@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.storage import forget, written
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "byte_marks", "filtered", "forget", "table", "tokenizer_path", "words", "written"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "byte_marks", "filtered", "forget", "free_prefix", "one_of_each", "table", "text_key", "tokenizer_path", "words", "written"]
 
 #: ASCII white space, the only word separators of these operators.
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,6 +28,29 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"{SPACE}+"))
 
 
+def free_prefix(df: DataFrame, stem: str) -> str:
+    """A prefix of names, made of underscores and the stem, that no column of df begins with."""
+    prefix = f"_{stem}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def text_key(*columns: Column) -> tuple[Column, Column]:
+    """Two longs that tell values apart, nulls among them."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
+def one_of_each(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """One row for each value of the keys: the least by its columns as JSON, so that it is the same one whenever a task runs again."""
+    p = free_prefix(df, "key")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    named = [k.alias(f"{p}{i}") for i, k in enumerate(keys)]
+    least = df.groupBy(*named).agg(F.min_by(row, F.to_json(row)).alias(f"{p}row"))
+    return least.select(*[F.col(f"{p}row").getField(c).alias(c) for c in df.columns])
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """The rows that fit, filtered where they are.
 
@@ -36,8 +59,9 @@ def filtered(df: DataFrame, condition: Column) -> DataFrame:
     too, to be evaluated for each element.  It does not push a filter past a
     condition that it takes to vary.
     """
-    marked = df.withColumn("_fits", condition & (F.monotonically_increasing_id() >= 0))
-    return marked.where("_fits").drop("_fits")
+    name = free_prefix(df, "fits")
+    marked = df.withColumn(name, condition & (F.monotonically_increasing_id() >= 0))
+    return marked.where(name).drop(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

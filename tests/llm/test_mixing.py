@@ -72,6 +72,51 @@ def test_mixed_documents_hold_the_words_taken(spark, small):
     assert sum(len(words(r["text"])) for r in mixing.mixed_documents(odd).collect()) == total
 
 
+def walked(spark, docs, **options):
+    """Words taken of each document, slot by slot: every slot's words are looked up in its source's line of words."""
+    m = mixing.mix(docs, **options)
+    lines = defaultdict(list)
+    for u in sorted(m.units.collect(), key=lambda u: (u["source_id"], u["start"])):
+        line = lines[u["source_id"]]
+        assert len(line) == u["start"] or not u["words"]
+        line += [(u["doc_id"], u["h"])] * u["words"]
+    got = defaultdict(int)
+    for s in m.slots.collect():
+        for unit in lines[s["source_id"]][s["block"] * m.block :][: s["take"]]:
+            got[unit] += 1
+    return got
+
+
+def test_every_document_s_words_against_a_walk_of_the_slots(spark, small):
+    df = table(spark, small, "documents")
+    got = defaultdict(int)
+    for (k, _), n in walked(spark, df).items():
+        got[k] += n
+    assert got and {r["doc_id"]: r["taken"] for r in mixing.taken(df).collect() if r["taken"]} == dict(got)
+
+
+def test_many_sources_in_few_groups(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), None if i % 50 == 0 else f"s{rng.integers(0, 300)}é") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for groups in (1, 7, 1000):
+        check(mixing.taken(df, block=5, groups=groups).collect(), df.collect())
+
+
+def test_rows_alike_are_pooled_by_partition_only(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")] * 500 + [(2, "d e", "y")], "doc_id long, text string, source string").repartition(9)
+    units = mixing.mix(df, block=4).units.collect()
+    assert max(u["copies"] for u in units) < 200 and sum(u["copies"] for u in units) == 501
+    check(mixing.taken(df, block=4).collect(), df.collect())
+
+
+def test_columns_with_names_of_its_own_stay(spark):
+    df = odd_documents(spark)
+    own = [f"`{c}`" for c in df.columns if c not in ("text", "n_chars")]
+    got = set(map(str, mixing.mixed_documents(df).select(*own).collect()))
+    assert got and got <= set(map(str, df.select(*own).collect()))
+
+
 def test_permutations_of_any_size():
     for n in (1, 2, 3, 10, 257, 5000):
         seen = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 3))
