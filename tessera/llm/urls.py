@@ -2,13 +2,16 @@
 
 Rules and trees are compiled into column expressions.  Counts and shares by
 suffix and section are taken over all labelled URLs, and joined as tables.  Only
-the trees are fitted on the driver, on a bounded sample of labelled URLs: the
-train_rows distinct URLs with the smallest hashes.
+the trees are fitted on the driver, on a bounded sample: of the distinct labelled
+URLs those whose hashes are below a threshold, which lets train_rows of them pass
+at most.  The statistics of a row that the trees are fitted on leave out the fold
+of URLs that it belongs to, so that no label is seen through them.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits
 no rule and is judged by its features like any other; repeated URLs are judged
 alike and count once in training; URLs of any length are read whole; with no
-labelled URL, or labels of one kind, the trees say that kind, or allow.
+labelled URL, or labels of one kind, the trees say that kind, or allow; other
+columns stay, but for those named like a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, forget, written
+from tessera.llm.common import ascii_lower, forget, free_prefix, written
 
 #: rule -> verdict.  A rule is a host, which covers its subdomains, and how paths start.
 RULES = {
@@ -33,7 +36,8 @@ RULES = {
 SEED_WORDS = (
     "adult ads adserver bet bets casino escort gambling jackpot lottery payday pharmacy pills poker porn sex slots spam viagra xxx".split()
 )
-TRAIN_ROWS = 20_000
+#: URLs that the trees are fitted on at most, and folds of URLs that their statistics leave out.
+TRAIN_ROWS, FOLDS = 20_000, 5
 LEXICAL = (
     "url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "letter_ratio",
     "entropy", "parameters", "query_length", "hyphens", "last_segment_length", "has_fragment", "secure",
@@ -104,6 +108,16 @@ def with_features(df: DataFrame, url: str = "url", prefix: str = "") -> DataFram
     return df.withColumns({p + k: v for k, v in found.items()})
 
 
+def joined_share(df: DataFrame, table: DataFrame | None, kind: str, prior: float, on: list[str], prefix: str = "") -> DataFrame:
+    """Adds prefix + kind + _share and _log_count from a table whose first columns are met by the columns on."""
+    names = {f"{prefix}{kind}_{n}": n for n in ("share", "log_count")}
+    if table is not None:
+        keys = [F.col(k).alias(c) for k, c in zip(table.columns, on, strict=False)]
+        df = df.join(table.select(*keys, *[F.col(n).alias(c) for c, n in names.items()]), on, "left")
+    known = lambda c: F.col(c) if table is not None else F.lit(None).cast("double")
+    return df.withColumns({c: F.coalesce(known(c), F.lit(prior if n == "share" else 0.0)) for c, n in names.items()})
+
+
 @dataclass
 class UrlModel:
     """Boosted trees as nested tuples (feature, threshold, left, right) or a leaf value; shares holds tables (key, share, log_count) by kind."""
@@ -116,11 +130,7 @@ class UrlModel:
     def with_shares(self, df: DataFrame, prefix: str = "") -> DataFrame:
         """Adds the statistics among FEATURES to what with_features() adds; an unknown key has the mean share and count 0."""
         for kind in ("suffix", "section"):
-            key, names = prefix + kind, {f"{prefix}{kind}_{n}": n for n in ("share", "log_count")}
-            if kind in self.shares:
-                df = df.join(self.shares[kind].select(F.col("key").alias(key), *[F.col(n).alias(c) for c, n in names.items()]), key, "left")
-            known = lambda c: F.col(c) if kind in self.shares else F.lit(None).cast("double")
-            df = df.withColumns({c: F.coalesce(known(c), F.lit(self.prior if n == "share" else 0.0)) for c, n in names.items()})
+            df = joined_share(df, self.shares.get(kind), kind, self.prior, [prefix + kind], prefix)
         return df
 
     def score(self, prefix: str = "") -> Column:
@@ -190,25 +200,44 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", train_rows:
     A suffix or section with fewer than least URLs gets the mean share.
     """
     known = labelled.where(F.col(label).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(label).cast("double").alias("label"))
-    known = written(with_features(known).select("url", "label", "suffix", "section"), "labelled")
+    known = written(with_features(known).select("url", "label", "suffix", "section", _fold().alias("fold")), "labelled")
     total = known.agg(F.count("*").alias("n"), F.avg("label").alias("prior")).first()
     prior = float(total["prior"] or 0.0)
     if not total["n"] or prior in (0.0, 1.0):
         forget(known)
         return UrlModel(2 * prior - 1, prior) if total["n"] else UrlModel(-1.0, 0.5)
     model = UrlModel(0.0, prior)
+    # the share of hashes that pass is a little less than asked for, as how many URLs pass is a matter of chance
+    span = 1 << 30
+    passing = span if total["n"] <= train_rows else int(span * max(0.0, train_rows - 3 * train_rows**0.5) / total["n"])
+    sample = with_features(known.where(F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(span)) < passing).select("url", "label", "fold"))
     for kind in ("suffix", "section"):
-        counts = known.groupBy(F.col(kind).alias("key")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).where(F.col("n") >= least)
-        share = (F.col("blocked") + 10 * prior) / (F.col("n") + 10)
+        folds = known.groupBy(F.col(kind).alias("key"), "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
         # written before they are joined, so that the engine knows their size and can split a hot key
-        model.shares[kind] = written(counts.select("key", share.alias("share"), F.log1p("n").alias("log_count")), f"url-{kind}")
-    sample = with_features(known.select("url", "label").orderBy(F.xxhash64("url"), "url").limit(train_rows))
-    rows = model.with_shares(sample).select("label", *FEATURES).orderBy(*FEATURES, "label").collect()
+        folds = written(folds, f"url-{kind}-folds")
+        counts = written(folds.groupBy("key").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).where(F.col("n") >= least), f"url-{kind}")
+        model.shares[kind] = counts.select("key", *_share(F.col("n"), F.col("blocked"), prior))
+        others = counts.select("key", F.col("n").alias("all"), F.col("blocked").alias("all_blocked")).join(folds, "key")
+        others = others.withColumns({"n": F.col("all") - F.col("n"), "blocked": F.col("all_blocked") - F.col("blocked")}).where(F.col("n") > 0)
+        sample = joined_share(sample, others.select("key", "fold", *_share(F.col("n"), F.col("blocked"), prior)), kind, prior, [kind, "fold"])
+    rows = sorted(tuple(map(float, r)) for r in sample.select(*FEATURES, "label").collect())[:train_rows]
     forget(known)
-    model.base, model.trees = grow(np.array([[float(r[f]) for f in FEATURES] for r in rows]), np.array([r["label"] for r in rows]))
+    if len({r[-1] for r in rows}) < 2:
+        return UrlModel(2 * prior - 1, prior, [], model.shares)
+    x = np.array(rows)
+    model.base, model.trees = grow(x[:, :-1], x[:, -1])
     return model
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(FOLDS)).cast("int")
+
+
+def _share(n: Column, blocked: Column, prior: float) -> tuple[Column, Column]:
+    """The share of blocked URLs, drawn towards the mean where there are few, and the count."""
+    return ((blocked + 10 * prior) / (n + 10)).alias("share"), F.log1p(n).alias("log_count")
+
+
 def by_seed_words(df: DataFrame, url: str = "url") -> DataFrame:
     """(url, label) of the URLs that have a host; label 1 if a seed word stands in it between full stops, hyphens or underscores."""
     host, _ = parts(F.col(url))
@@ -233,7 +262,13 @@ def judge(df: DataFrame, url: str = "url", rules: dict[str, str] = RULES, model:
     """
     if model is None:
         model = fit(by_seed_words(df, url), train_rows=train_rows)
-    out = scored(df, model, url)
-    out = out.withColumn("_url_rule", rule_of(F.col("_url_host"), F.col("_url_path"), rules))
-    by_trees = F.when(F.col("_url_score") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("_url_verdict", F.coalesce(verdict_of(F.col("_url_rule"), rules), by_trees)).drop("_url_score")
+    results = [f"_url_{c}" for c in ("host", "path", "rule", "verdict")]
+    df = df.drop(*results)
+    p = free_prefix(df, "url")
+    out = scored(df, model, url, p)
+    rule = rule_of(F.col(f"{p}host"), F.col(f"{p}path"), rules)
+    out = out.withColumn(f"{p}rule", rule)
+    by_trees = F.when(F.col(f"{p}score") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.coalesce(verdict_of(F.col(f"{p}rule"), rules), by_trees)
+    found = (F.col(f"{p}host"), F.col(f"{p}path"), F.col(f"{p}rule"), verdict)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for c, n in zip(found, results, strict=True)])

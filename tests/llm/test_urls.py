@@ -41,7 +41,7 @@ def test_table_against_brute_force(spark, small):
 
 
 def test_odd_urls(spark):
-    df = spark.createDataFrame([(i if i else None, u, "x", "y") for i, u in enumerate(ODD)], "page_id long, url string, host string, _score string")
+    df = spark.createDataFrame([(i if i else None, u, "x", "y") for i, u in enumerate(ODD)], "page_id long, url string, host string, _url_score string")
     rows = urls.judge(df).collect()
     assert len(rows) == len(ODD)
     for r in rows:
@@ -65,18 +65,72 @@ def test_trees_as_columns_score_as_in_training(spark, small):
     y = ((x[:, 0] > 0.3) ^ (x[:, 3] > 0)).astype(float)
     base, trees = urls.grow(x, y)
 
-    def walk(t, row):
-        while not isinstance(t, float):
-            t = t[2] if row[t[0]] <= t[1] else t[3]
-        return t
-
-    want = [base + sum(walk(t, row) for t in trees) for row in x[:50]]
-    assert np.mean((np.array([base + sum(walk(t, r) for t in trees) for r in x[2000:]]) > 0) == y[2000:]) > 0.95
+    rows = [dict(zip(urls.FEATURES, row, strict=True)) for row in x]
+    want = [base + sum(walk(t, row) for t in trees) for row in rows[:50]]
+    assert np.mean((np.array([base + sum(walk(t, r) for t in trees) for r in rows[2000:]]) > 0) == y[2000:]) > 0.95
     df = spark.createDataFrame(x[:50].tolist(), ", ".join(f"{f} double" for f in urls.FEATURES))
     got = [r[0] for r in df.select(urls.UrlModel(base, 0.5, trees).score()).collect()]
     assert np.allclose(got, want)
 
 
+def walk(t, row):
+    while not isinstance(t, float):
+        t = t[2] if row[urls.FEATURES[t[0]]] <= t[1] else t[3]
+    return t
+
+
+def test_verdicts_are_a_walk_of_the_trees(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    model = urls.fit(urls.by_seed_words(pages))
+    assert len(model.trees) == 30
+    want = {}
+    for r in model.with_shares(urls.with_features(pages)).collect():
+        score = model.base + sum(walk(t, r) for t in model.trees)
+        rule = brute(r["url"])[2]
+        want[r["page_id"]] = urls.RULES[rule] if rule else "block" if score > 0 else "allow"
+    assert {r["page_id"]: r["verdict"] for r in op4_url_filters(spark, folder).collect()} == want
+
+
+def auc(scores, labels):
+    scores, labels = np.asarray(scores, float), np.asarray(labels)
+    good, bad = scores[labels == 0], scores[labels == 1]
+    return np.mean([(b > good).mean() + (b == good).mean() / 2 for b in bad])
+
+
+def test_trees_know_hosts_whose_words_no_label_names(spark, monkeypatch):
+    """Labels by half of the words; hosts of the other half are told from clean ones better than by the list, which says nothing of them."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("url").distinct()
+    everything = {r["url"]: r["label"] for r in urls.by_seed_words(pages).collect()}
+    known = tuple(w for i, w in enumerate(sorted(urls.SEED_WORDS)) if i % 2)
+    monkeypatch.setattr(urls, "SEED_WORDS", known)
+    listed = {r["url"]: r["label"] for r in urls.by_seed_words(pages).collect()}
+    unnamed = [u for u, y in everything.items() if y and not listed[u]]
+    hosts = {brute(u)[0] for u in unnamed}
+    assert len(hosts) > 1 and sum(listed.values()) > 10
+    labelled = urls.by_seed_words(pages).withColumn("host", urls.parts(F.col("url"))[0]).where(~F.col("host").isin(*hosts))
+    found = {r["url"]: r["_url_score"] for r in urls.scored(pages, urls.fit(labelled)).collect()}
+    held = [u for u in everything if u in unnamed or not everything[u]]
+    by_trees = auc([found[u] for u in held], [everything[u] for u in held])
+    by_list = auc([listed[u] for u in held], [everything[u] for u in held])
+    assert by_list == 0.5 and by_trees > 0.9
+
+
+def test_the_sample_is_bounded_and_its_statistics_leave_its_fold_out(spark, monkeypatch):
+    rows = [(f"http://h{i % 7}.s{i % 3}/sec{i % 5}/{i}", int(i % 3 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    taken = []
+    grow = urls.grow
+    monkeypatch.setattr(urls, "grow", lambda x, y: taken.append((x, y)) or grow(x, y))
+    urls.fit(df, train_rows=1000)
+    x, y = taken[0]
+    assert 700 < len(x) <= 1000 and 0.2 < y.mean() < 0.5
+    full = 5000 / 3
+    # the count of a suffix is that of the other folds
+    counts = np.expm1(x[:, urls.FEATURES.index("suffix_log_count")])
+    assert (counts < full).all() and (counts > full * 0.7).all()
+
+
 def test_held_out_hosts_are_judged_by_their_shape(spark):
     """A third of the hosts is not trained on; their labels are found again."""
     pages = table(spark, "/root/testdata/sf0.1", "pages").select("url").distinct()
