@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, written
+from tessera.llm.common import forget, free_prefix, one_of_each, text_key, written
 from tessera.llm.components import components
 
 BANDS, ROWS = 40, 4
@@ -290,7 +290,17 @@ def _more(links: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class: the rows whose id is the class's, one row per id; rows with a null id stay."""
-    kept = near_duplicates(df, doc_id, text, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).where("_kept_id is not null").distinct()
-    known = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
-    return known.union(df.where(F.col(doc_id).isNull()))
+    """One document of each class: that whose id is the class's.
+
+    Defined cases: rows of that id with other texts are other documents, and each
+    of those texts stays; of rows alike in id and text the least stays, by its
+    columns as JSON; rows with a null id stay.
+    """
+    p = free_prefix(df, "kept")
+    id_of, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    found = near_duplicates(df, doc_id, text, **options)
+    kept = written(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(f"{p}id")).agg(F.count("*").alias(f"{p}n")), "kept")
+    known = df.where(id_of.isNotNull()).join(kept.select(f"{p}id"), id_of.cast("long") == F.col(f"{p}id"), "left_semi")
+    if kept.where(F.col(f"{p}n") > 1).limit(1).count():
+        known = one_of_each(known, [id_of, *text_key(body)])
+    return known.union(df.where(id_of.isNull()))

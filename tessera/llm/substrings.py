@@ -10,7 +10,8 @@ A stretch is cut out if it stood in one piece at an earlier place; so a phrase
 which two documents share by chance stays, and phrases shared with several
 documents do not add up.
 
-Chunks move as two longs and a digest.  Digests are counted by partial
+Chunks move as a digest, a place and what names their document: its id, and
+where ids are null or repeat, 128 bits of its text beside it.  Digests are counted by partial
 aggregates before the shuffle; only places of digests seen twice go on, and
 the engine's skew join splits a digest that a third of all documents hold.  The
 repeats of one document, and its stretches of them, are bounded by its own length.
@@ -18,6 +19,7 @@ repeats of one document, and its stretches of them, are bounded by its own lengt
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filtered, forget, written
+from tessera.llm.common import filtered, forget, free_prefix, text_key, written
 
 #: One byte in MEAN ends a chunk, unless LEAST bytes have not passed since the last that could; none is longer than MOST.
 MEAN, LEAST, MOST = 16, 8, 256
 #: Bytes of whole repeated chunks in a row from which they are cut: a repeated passage of 50 words
 #: has that many between the parts of chunks at its ends, a repeated line mostly not.
 CUT = 120
-_KEY_BITS, _AT_BITS = 22, 41
+
+
+_LONGS = struct.Struct("<qq")
 
 
 def gear(seed: int = 7) -> np.ndarray:
@@ -76,20 +80,16 @@ def boundaries(data: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int
     return np.union1d(ends, more).astype("int64")
 
 
-def _key(text: Column) -> Column:
-    """Some bits of the text, which tell rows of one id but different texts apart."""
-    return F.shiftrightunsigned(F.xxhash64(text), 64 - _KEY_BITS)
-
-
 def chunks(df: DataFrame, batch: int = 500) -> DataFrame:
-    """(digest, doc_id, at) of every chunk of (doc_id, text); at holds key, start and length."""
+    """(digest, at, and what names the document) of every chunk of a table of text and names; at holds start and length."""
+    names = [c for c in df.columns if c != "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest as digest
 
         for part in (f.iloc[i : i + batch] for f in frames for i in range(0, len(f), batch)):
-            ids, digests, at = [], [], []
-            for doc_id, key, text in zip(part["doc_id"], part["key"], part["text"], strict=True):
+            digests, at, counts = [], [], np.zeros(len(part), "int64")
+            for row, text in enumerate(part["text"]):
                 raw = text.encode()
                 if not raw:
                     continue
@@ -97,12 +97,13 @@ def chunks(df: DataFrame, batch: int = 500) -> DataFrame:
                 sizes = np.diff(ends, prepend=0)
                 starts = ends - sizes
                 digests += [digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                at.append((int(key) << _AT_BITS) | (starts << 9) | sizes)
-                ids.append(np.full(len(ends), doc_id, "int64"))
-            if ids:
-                yield pd.DataFrame({"digest": np.array(digests, "uint64").view("int64"), "doc_id": np.concatenate(ids), "at": np.concatenate(at)})
+                at.append((starts << 9) | sizes)
+                counts[row] = len(ends)
+            if at:
+                whose = {c: np.repeat(part[c].to_numpy("int64"), counts) for c in names}
+                yield pd.DataFrame({"digest": np.array(digests, "uint64").view("int64"), "at": np.concatenate(at), **whose})
 
-    return df.mapInPandas(run, "digest long, doc_id long, at long")
+    return df.mapInPandas(run, ", ".join(["digest long, at long", *(f"{c} long" for c in names)]))
 
 
 def windows(edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,21 +115,19 @@ def windows(edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.unique(pairs), n)
 
 
-def _stretches(at: np.ndarray, digest: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, digest) of the windows of a document's chunks that follow each other."""
-    from xxhash import xxh3_64_intdigest
+def _stretches(at: np.ndarray, digest: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, two longs of a digest) of the windows of a document's chunks that follow each other."""
+    from xxhash import xxh3_128_digest
 
-    place = at & ((1 << _AT_BITS) - 1)
-    order = np.argsort(place)
-    start, digest = place[order] >> 9, np.ascontiguousarray(digest[order])
-    end = start + (place[order] & 511)
+    order = np.argsort(at)
+    start, digest = at[order] >> 9, np.ascontiguousarray(digest[order])
+    end = start + (at[order] & 511)
     heads = np.flatnonzero(np.append(True, start[1:] != end[:-1])).tolist()
     for low, high in zip(heads, [*heads[1:], len(start)], strict=True):
         edges = np.append(start[low:high], end[high - 1])
         if edges[-1] - edges[0] >= least:
             for a, b in zip(*(x.tolist() for x in windows(edges, least)), strict=True):
-                told = xxh3_64_intdigest(digest[low + a : low + b].tobytes())
-                yield int(edges[a]), int(edges[b]), told - ((told >> 63) << 64)
+                yield int(edges[a]), int(edges[b]), *_LONGS.unpack(xxh3_128_digest(digest[low + a : low + b].tobytes()))
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -153,25 +152,31 @@ def _whole_words(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return (a, b) if near and a < b else (start, end)
 
 
-def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut: int = CUT) -> DataFrame:
-    """Adds _text, the text without its repeats, and what was found.
+def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut: int = CUT, prefix: str = "_") -> DataFrame:
+    """Adds prefix + text, the text without its repeats, and what was found.
 
-    _spans: the cut stretches as (start, end) in bytes; _copied_from: ids of the
-    documents that keep them; _shared: whether some stretch of the document,
-    kept or cut, is repeated.
+    prefix + spans: the cut stretches as (start, end) in bytes; copied_from: ids
+    of the documents that keep them; shared: whether some stretch of the
+    document, kept or cut, is repeated.
 
     Defined cases: null and empty texts have no chunks and stay; a null id
     comes before all others; rows alike in id and text are one document to the
-    search and each is kept or cut alike; rows of one id with other texts are
-    documents in the order of their keys; texts are read whole; other columns
-    stay as they are.
+    search and each is kept or cut alike; rows of one id, or of none, with other
+    texts are documents in the order of 128 bits of their texts; texts are read
+    whole; other columns stay as they are, but for those named like a result,
+    which are replaced.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    results = [prefix + c for c in ("text", "spans", "shared", "copied_from")]
+    df = df.drop(*results)
+    p = free_prefix(df, "cut")
+    given, id_of = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    body = F.coalesce(given, F.lit(""))
+    named = F.coalesce(id_of.cast("long"), F.lit(-(2**63)))
     repeated = bool(df.groupBy(named.alias("id")).count().where("count > 1").limit(1).count())
-    bits = _key(body) if repeated else F.lit(0).cast("long")
-    found = written(chunks(df.select(named.alias("doc_id"), bits.alias("key"), body.alias("text"))), "chunks")
-    place = F.struct("doc_id", "at")
+    own = {"doc_id": named} | (dict(zip(("k1", "k2"), text_key(id_of, body), strict=True)) if repeated else {})
+    names = list(own)
+    found = written(chunks(df.select(*[c.alias(n) for n, c in own.items()], body.alias("text"))), "chunks")
+    place = F.struct(*names, "at")
     # aggregates are written before they are joined, so that a join's skewed side can be split
     twice = written(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
     some = written(found.join(twice, "digest", "left_semi"), "repeated")
@@ -179,7 +184,7 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut:
     forget(twice)
     first = written(some.groupBy("digest").agg(F.min(place).alias("first")), "first")
     seen = some.join(first, "digest").withColumn("repeat", place != F.col("first"))
-    mine = seen.groupBy("doc_id", F.shiftrightunsigned("at", _AT_BITS).alias("key")).agg(
+    mine = seen.groupBy(*names).agg(
         F.collect_list("at").alias("at"),
         F.collect_list("digest").alias("digest"),
         F.collect_list("repeat").alias("repeat"),
@@ -188,55 +193,55 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cut:
     mine = written(mine, "mine")
     forget(some)
     forget(first)
+    kinds = ", ".join(f"{n} long" for n in names)
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, bits, at, digest in zip(frame["doc_id"], frame["key"], frame["at"], frame["digest"], strict=True):
-                out += [(told, key, bits, a, b) for a, b, told in _stretches(np.asarray(at, "int64"), np.asarray(digest, "int64"), cut)]
-            yield pd.DataFrame(out, columns=["stretch", "doc_id", "key", "start", "end"])
+            for *whose, at, digest in zip(*(frame[c] for c in (*names, "at", "digest")), strict=True):
+                out += [(*whose, *s) for s in _stretches(np.asarray(at, "int64"), np.asarray(digest, "int64"), cut)]
+            yield pd.DataFrame(out, columns=[*names, "start", "end", "s1", "s2"])
 
-    whole = written(mine.select("doc_id", "key", "at", "digest").mapInPandas(combine, "stretch long, doc_id long, key long, start int, end int"), "stretches")
-    place = F.struct("doc_id", "key", "start")
-    origin = whole.groupBy("stretch").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    whole = written(mine.select(*names, "at", "digest").mapInPandas(combine, f"{kinds}, start int, end int, s1 long, s2 long"), "stretches")
+    place = F.struct(*names, "start")
+    origin = whole.groupBy("s1", "s2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
     origin = written(origin, "origins")
     again = F.when(place != F.col("origin"), True)
-    shared = whole.join(origin, "stretch").groupBy("doc_id", "key").agg(
+    shared = whole.join(origin, ["s1", "s2"]).groupBy(*names).agg(
         F.collect_list(F.when(again, F.col("start"))).alias("starts"), F.collect_list(F.when(again, F.col("end"))).alias("ends")
     )
-    kind = "doc_id long, key long, spans array<struct<start:int,end:int>>, copied_from array<long>"
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, bits, starts, ends, at, repeat, of in zip(*(frame[c] for c in ("doc_id", "key", "starts", "ends", "at", "repeat", "of")), strict=True):
+            for *whose, starts, ends, at, repeat, of in zip(*(frame[c] for c in (*names, "starts", "ends", "at", "repeat", "of")), strict=True):
                 runs = _joined(np.asarray(starts, "int64"), np.asarray(ends, "int64"))
-                start = (np.asarray(at, "int64") & ((1 << _AT_BITS) - 1)) >> 9
+                start = np.asarray(at, "int64") >> 9
                 inside = np.zeros(len(start), bool)
                 for a, b in runs:
                     inside |= (start >= a) & (start < b)
                 keepers = np.asarray(of, "int64")[inside & np.asarray(repeat, bool)]
-                out.append((key, bits, [{"start": a, "end": b} for a, b in runs], np.unique(keepers).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "spans", "copied_from"])
+                out.append((*whose, [{"start": a, "end": b} for a, b in runs], np.unique(keepers).tolist()))
+            yield pd.DataFrame(out, columns=[*names, "spans", "copied_from"])
 
-    both = shared.join(mine.select("doc_id", "key", "at", "repeat", "of").hint("shuffle_merge"), ["doc_id", "key"])
-    cuts = written(both.mapInPandas(decide, kind), "cuts")
+    both = shared.join(mine.select(*names, "at", "repeat", "of").hint("shuffle_merge"), names)
+    cuts = written(both.mapInPandas(decide, f"{kinds}, spans array<struct<start:int,end:int>>, copied_from array<long>"), "cuts")
     for table in (mine, whole, origin):
         forget(table)
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"), F.col("copied_from").alias("_copied_from"))
-    own = df.withColumns({"_own_id": named, "_own_key": bits})
-    both = own.hint("shuffle_merge").join(cuts, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
-    touched = F.size("_spans") > 0
-    new = _without(F.when(touched, F.col(text)), F.when(touched, F.col("_spans")))
-    nothing = F.array()
-    return both.withColumns(
-        {
-            "_text": F.when(touched, new).otherwise(F.col(text)),
-            "_shared": F.col("_id").isNotNull(),
-            "_spans": F.coalesce("_spans", nothing.cast("array<struct<start:int,end:int>>")),
-            "_copied_from": F.transform(F.coalesce("_copied_from", nothing.cast("array<long>")), lambda x: F.when(x != -(2**63), x)),
-        }
-    ).drop("_own_id", "_own_key", "_id", "_key")
+    cuts = cuts.select(*[F.col(n).alias(f"{p}of_{n}") for n in names], F.col("spans").alias(f"{p}spans"), F.col("copied_from").alias(f"{p}from"))
+    docs = df.withColumns({p + n: c for n, c in own.items()})
+    same = [F.col(p + n) == F.col(f"{p}of_{n}") for n in names]
+    both = docs.hint("shuffle_merge").join(cuts, same, "left")
+    spans, nothing = F.col(f"{p}spans"), F.array()
+    touched = F.size(spans) > 0
+    new = _without(F.when(touched, given), F.when(touched, spans))
+    values = (
+        F.when(touched, new).otherwise(given),
+        F.coalesce(spans, nothing.cast("array<struct<start:int,end:int>>")),
+        spans.isNotNull(),
+        F.transform(F.coalesce(f"{p}from", nothing.cast("array<long>")), lambda x: F.when(x != -(2**63), x)),
+    )
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for v, n in zip(values, results, strict=True)])
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -258,8 +263,13 @@ def _without(text: Column, spans: Column) -> Column:
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", cut: int = CUT) -> DataFrame:
-    """The documents with their repeats cut out and n_chars counted anew; those of which nothing but white space is left go."""
-    out = cut_repeats(df, doc_id, text, cut)
-    out = filtered(out, (F.size("_spans") == 0) | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {text: F.col("_text"), n_chars: F.when(F.size("_spans") > 0, F.char_length("_text").cast("long")).otherwise(F.col(n_chars))}
+    """The documents with their repeats cut out and n_chars counted anew; those of which nothing but white space is left go.
+
+    Defined cases: as for cut_repeats(); a text that was null or blank before stays.
+    """
+    p = free_prefix(df, "new")
+    out = cut_repeats(df, doc_id, text, cut, p)
+    whole = F.size(f"{p}spans") == 0
+    out = filtered(out, whole | F.col(f"{p}text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text: F.col(f"{p}text"), n_chars: F.when(whole, F.col(f"`{n_chars}`")).otherwise(F.char_length(f"{p}text").cast("long"))}
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

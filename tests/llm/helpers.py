@@ -2,7 +2,10 @@
 
 import re
 
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, ids int, words string"
+#: Names that operators might use inside.
+CLASHING = "_id long, _key string, _size int, _spans string, _h long, _source string, _text string, _new string, _text_h long, _fits boolean, _cut_spans int, _kept_id long, id long, h string, start int, `a.b` int"
+DOC_SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, extra string, ids int, words string, {CLASHING}"
+_MORE = (1, "k", 2, "s", 3, "so", "te", "ne", 4, True, 5, 6, 7, "h", 8, 9)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 ODD_TEXTS = [
@@ -22,13 +25,14 @@ ODD_TEXTS = [
 
 
 def rows(texts, first=0):
-    return [(first + i, t, None, None if i % 3 == 0 else f"s{i % 2}", None if t is None else len(t), "x", i, "w") for i, t in enumerate(texts)]
+    return [(first + i, t, None, None if i % 3 == 0 else f"s{i % 2}", None if t is None else len(t), "x", i, "w", *_MORE) for i, t in enumerate(texts)]
 
 
 def odd_documents(spark):
     """Nulls in every column, empty, blank and long texts, exact copies, a repeated row and clashing extra columns."""
     out = rows(ODD_TEXTS)
-    out += [out[5], out[5], (None, "one two three four five six", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    nothing = (None,) * (6 + len(_MORE))
+    out += [out[5], out[5], (None, "one two three four five six", *nothing), (None, None, *nothing)]
     return spark.createDataFrame(out, DOC_SCHEMA)
 
 

@@ -49,7 +49,15 @@ def test_odd_documents(spark):
     assert neardup.near_duplicates(no_documents(spark)).count() == 0
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns
-    assert kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+    assert kept.where("doc_id is not null").groupBy("doc_id", "text").count().where("count > 1").count() == 0
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "quite other words stand here now", "y"), (1, "a b c d e f g", "w"), (2, "a b c d e f g", None), (None, "a b c d e f g", "z"), (3, None, "n"), (3, "", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string")
+    for parts in (1, 5):
+        got = sorted(map(tuple, neardup.keep_one(df.repartition(parts)).collect()), key=str)
+        assert got == sorted([(1, "a b c d e f g", "w"), (1, "quite other words stand here now", "y"), (None, "a b c d e f g", "z"), (3, None, "n"), (3, "", "m")], key=str)
 
 
 def test_chains_and_crowds_of_strangers(spark):
