@@ -8,7 +8,8 @@ coordinates is as concentrated about the resemblance as independent ones.
 With 40 bands of 4 a pair of resemblance 0.75 goes unseen with a chance of
 (1 - 0.75^4)^40 = 2.5e-7.
 
-What moves are band keys and ids; texts only for pairs that must be verified:
+What moves are band keys and ids; texts only to be verified, a document's once for
+some hundreds of its partners:
 
 1. Documents of equal shingle sets are one class, named by its least id.
 2. In each band bucket every class is paired with the least one, a pair per
@@ -36,6 +37,8 @@ from tessera.llm.components import components
 
 BANDS, ROWS = 40, 4
 SHINGLE = 5
+#: Partners of a document that one task verifies, about.
+PARTNERS = 512
 NEAR, OF = 75, 100
 _U = np.uint64
 
@@ -128,23 +131,42 @@ def _sketched(df: DataFrame, bands: int, rows: int, batch: int = 256) -> DataFra
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, near: int, of: int) -> DataFrame:
-    """Of the pairs (u, v) those whose full shingle sets are near; pairs must be few, as their texts move."""
+    """Of the pairs (u, v) those whose full shingle sets are near.
+
+    The partners of a document are dealt to as many tasks as they fill; its own
+    text goes to each of these once, not once a pair, and is read before theirs.
+    """
+    parts = pairs.groupBy("u").agg(F.floor((F.count("*") + (PARTNERS - 1)) / PARTNERS).cast("int").alias("parts"))
+    parts = written(parts, "partners")
+    bodies = texts.select("id", "text")
+    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.join(bodies.withColumnRenamed("id", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+    others = pairs.join(parts, "u").withColumn("part", F.pmod(F.hash("v"), F.col("parts")))
+    others = others.join(bodies.withColumnRenamed("id", "v"), "v").select("u", "part", "v", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, kept = shingler().shingles, (None, None)
+        make, whose, sets = shingler().shingles, None, []
         for frame in frames:
             out = []
-            for u, v, a, b in zip(frame["u"], frame["v"], frame["a"], frame["b"], strict=True):
-                if kept[0] != u:
-                    kept = (u, make(a))
-                x, y = kept[1], make(b)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                out.append(of * shared >= near * (len(x) + len(y) - shared))
-            yield frame.loc[out, ["u", "v"]]
-
-    first = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    both = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+            for u, part, v, text in zip(frame["u"], frame["part"], frame["v"], frame["text"], strict=True):
+                if whose != (u, part):
+                    whose, sets = (u, part), []
+                y = make(text)
+                if pd.isna(v):
+                    sets.append(y)
+                    continue
+                for x in sets:
+                    if of * min(len(x), len(y)) >= near * max(len(x), len(y)):
+                        shared = len(x) + len(y) - len(np.union1d(x, y))
+                        if of * shared >= near * (len(x) + len(y) - shared):
+                            out.append((u, int(v)))
+                            break
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    # a nullable whole number is read as a float: v is kept as text
+    both = own.union(others).withColumn("v", F.col("v").cast("string"))
+    both = both.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return both.mapInPandas(run, "u long, v long")
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
