@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.generators import is_prime, random_cos, selected
 from tessera.operators import compact, matrix, reduce, scan, sort
-from tessera.plans import storage
+from tessera.plans import lud, storage, suite
 from tessera.sources import matrices, ranges
 
 
@@ -236,3 +236,22 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError, match="share"):
         storage.shared_dir(Cluster)
+
+
+def test_lud_from_the_command_line(spark, tmp_path, capsys):
+    matrices.write_matrix(matrices.square(spark, 6, matrices.dominant(6)), str(tmp_path / "six.dat"))
+    assert lud.main(["-i", str(tmp_path / "six.dat"), "-m", "2", "-v"], spark) > 0
+    assert "0 places are wrong" in capsys.readouterr().out
+    lud.main(["-s", "5", "--kind", "product", "-v"], spark)
+    assert "0 places are wrong" in capsys.readouterr().out
+    lud.main(["-s", "4", "-v"], spark)  # all entries alike: there are no factors
+    assert "\n0 places" not in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        lud.main([], spark)
+
+
+def test_published_cases(spark):
+    found = {c.name: c for c in suite.cases()}
+    assert len(found) == 27 and len(list(suite.cases(1))) == 11
+    for name in ("sum-function-263378", "primes", "lud-256-1"):
+        assert found[name].run(spark) == found[name].expected
