@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.storage import forget, written
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "byte_marks", "filtered", "forget", "free_prefix", "one_of_each", "table", "text_key", "tokenizer_path", "words", "written"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "byte_marks", "filtered", "forget", "free_prefix", "one_of_each", "table", "text_key", "tokenizer_path", "window_hashes", "words", "written"]
 
 #: ASCII white space, the only word separators of these operators.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,8 +24,15 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}+|{SPACE}+\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"{SPACE}+"))
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def window_hashes(hashes: Column, starts: Column, width: int) -> Column:
+    """A hash of each run of so many words, from the words' own hashes and the places where runs start; a run past the end is shorter."""
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
 def free_prefix(df: DataFrame, stem: str) -> str:

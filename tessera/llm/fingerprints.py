@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import words, written
+from tessera.llm.common import window_hashes, words, written
 
 K = 64
 WINDOW = 5
@@ -25,10 +25,11 @@ _SPAN = 2.0**64
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     """Adds the sketch of a text column as a sorted array of longs."""
-    ws, n = f"{out}_ws", F.size(f"{out}_ws")
-    shingles = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(shingles, lambda i: F.xxhash64(*[F.get(F.col(ws), i + j) for j in range(WINDOW)]))
-    return df.withColumn(ws, words(F.col(text))).withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop(ws)
+    hs, n = f"{out}_hs", F.size(f"{out}_hs")
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    hashes = window_hashes(F.col(hs), starts, WINDOW)
+    df = df.withColumn(hs, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop(hs)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:

@@ -1,5 +1,6 @@
 from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
@@ -31,13 +32,16 @@ def test_table_against_brute_force(spark, small):
     docs = sorted((r["doc_id"], r["text"] or "") for r in table(spark, small, "documents").collect())
     rows = {r["doc_id"]: r for r in op6_document_fingerprints(spark, small).collect()}
     assert len(rows) == len(docs)
-    by_text = {}
+    by_text, errors = {}, []
     for i, ((key, text), new) in enumerate(zip(docs, edited(docs), strict=True)):
         r = rows[key]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == sha256(new.encode()).hexdigest()
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        assert abs(r["near_edited"] - likeness(grams(text), grams(new))) < 0.3
-        assert abs(r["near_next"] - likeness(grams(text), grams(docs[(i + 1) % len(docs)][1]))) < 0.3
+        wanted = likeness(grams(text), grams(new)), likeness(grams(text), grams(docs[(i + 1) % len(docs)][1]))
+        errors.append((r["near_edited"] - wanted[0], r["near_next"] - wanted[1]))
+    errors = np.array(errors)
+    assert np.abs(errors).max() < 0.25 and np.abs(errors).mean() < 0.03
+    assert np.abs(errors.mean(0)).max() < 0.02  # no bias
 
 
 def test_odd_documents(spark):
