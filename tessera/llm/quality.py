@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filtered, words
+from tessera.llm.common import filtered, window_hashes, words
 
 #: Frequent function words of the languages that the rules know.
 STOP_WORDS = {
@@ -59,10 +59,10 @@ def repeated_words(df: DataFrame, ws: str, out: str) -> DataFrame:
     sort the windows themselves, so that a hash collision changes nothing.
     Linear in the text but for that sort.
     """
-    h, s, at = f"{out}_h", f"{out}_s", f"{out}_at"
+    hs, h, s, at = f"{out}_hs", f"{out}_h", f"{out}_s", f"{out}_at"
     n = F.size(ws)
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW))
-    df = df.withColumn(h, F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(ws), i + k) for k in range(WINDOW)])))
+    df = df.withColumn(hs, F.transform(F.col(ws), lambda w: F.xxhash64(w))).withColumn(h, window_hashes(F.col(hs), starts, WINDOW))
     repeats = F.size(F.array_distinct(h)) < F.size(h)
     windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(F.col(ws), i + 1, WINDOW), " ").alias("g"), i.alias("i")))
     df = df.withColumn(s, F.when(repeats, F.sort_array(windows)))
@@ -78,7 +78,7 @@ def repeated_words(df: DataFrame, ws: str, out: str) -> DataFrame:
         lambda acc, i: F.struct((acc["total"] + F.least(F.lit(WINDOW), i + WINDOW - acc["end"])).alias("total"), (i + WINDOW).alias("end")),
         lambda acc: acc["total"],
     )
-    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop(h, s, at)
+    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop(hs, h, s, at)
 
 
 def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -86,6 +86,7 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     p = {m: prefix + m for m in MEASURES}
     ws, lines = f"{prefix}_ws", f"{prefix}_lines"
     body = F.coalesce(F.col(text), F.lit(""))
+    found = lambda c: F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit("")))
     stop = sorted({w for ws_ in STOP_WORDS.values() for w in ws_})
     df = df.withColumn(ws, words(F.col(text)))
     df = df.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -94,8 +95,8 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         {
             p["n_words"]: F.size(ws).cast("long"),
             p["word_chars"]: F.char_length(F.array_join(ws, "")).cast("long"),
-            p["n_symbols"]: F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-            p["n_exclamations"]: F.regexp_count(body, F.lit("!")).cast("long"),
+            p["n_symbols"]: sum((found(c) for c in "#*$%&|<>"), F.lit(0)).cast("long"),
+            p["n_exclamations"]: found("!").cast("long"),
             p["n_lines"]: F.size(lines).cast("long"),
             p["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             p["n_stop_words"]: F.size(F.filter(F.col(ws), lambda w: w.isin(stop))).cast("long"),
