@@ -17,6 +17,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -43,7 +44,6 @@ PART_ROWS = 32_768
 #: How the tokenizers that WordEncoder understands change texts and cut words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+"
 PRE_TOKENIZER = {
     "type": "Sequence",
     "pretokenizers": [
@@ -65,18 +65,25 @@ def works_by_words(description: dict) -> bool:
     return plain and special and description["normalizer"] == NORMALIZER and description["pre_tokenizer"] == PRE_TOKENIZER
 
 
+def cutter(ascii_only: bool):
+    """Finds the parts of a lower-cased text of characters below U+0300 as CUTS does, by the kinds that Unicode gives these."""
+    if ascii_only:
+        return re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r\x20a-z0-9]+").findall
+    letters, numbers = ("".join(f"\\u{c:04x}" for c in range(0x300) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r\x20\x85\xa0{letters}{numbers}]+").findall
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word where the tokenizer is proved to work so, else by the tokenizer itself.
+    """Ids of whole texts, part by part where the tokenizer is proved to work so, else by the tokenizer itself.
 
-    Texts are cut at ASCII white space and each distinct word is encoded once
-    per cache.  If a text has only characters below U+0300 (each its own
-    composed form) and no special strings, its words are lower-cased and cut
-    as the tokenizer cuts them, and only the distinct parts go to the
-    tokenizer's model.  Words of other texts go through the whole tokenizer.
+    If a text has only characters below U+0300 (each its own composed form) and
+    no special strings, it is lower-cased and cut as the tokenizer cuts it, and
+    each distinct part goes to the tokenizer's model once per cache.  Other
+    texts are cut at ASCII white space, and each of their distinct words goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,10 +91,11 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.by_words = works_by_words(json.loads(self.tokenizer.to_str()))
         self.marks = byte_marks()
-        self.cut = regex.compile(PARTS).findall
-        self.odd = re.compile(r"[\u0300-\U0010ffff]|<\|").search
-        self.parts = WordCache(self._merge, 1_000_000)
-        self.lowered = WordCache(self._join, 1_600_000)
+        self.cut, self.cut_ascii = cutter(False), cutter(True)
+        # letters below U+0300 whose small letters are beyond it are odd, too
+        beyond = "".join(chr(c) for c in range(0x300) if any(x >= "\u0300" and x.isalpha() for x in chr(c).lower()))
+        self.odd = re.compile(rf"[{beyond}\u0300-\U0010ffff]|<\|").search
+        self.parts = WordCache(self._merge, 800_000)
         self.raw = WordCache(self._whole, 50_000)
 
     def _merge(self, parts: list[str]) -> list[bytes]:
@@ -95,16 +103,6 @@ class WordEncoder:
         written = [p if p.isascii() and p.isprintable() else "".join([marks[b] for b in p.encode()]) for p in parts]
         return [array("I", [t.id for t in merge(p)]).tobytes() for p in written]
 
-    def _join(self, words: list[bytes]) -> list[bytes]:
-        """Ids of lower-cased words; most are letters and perhaps a mark, which need no pattern to be cut."""
-        cut = self.cut
-        cuts = [
-            (w.decode(),) if w.isalpha() else (w[:-1].decode(), chr(w[-1])) if w[:-1].isalpha() and w[-1] in b".,;:!?" else cut(w.decode())
-            for w in words
-        ]
-        parts = self.parts.known(cuts)
-        return [b"".join(map(parts.__getitem__, c)) for c in cuts]
-
     def _whole(self, words: list[bytes]) -> list[bytes]:
         return self._library([w.decode() for w in words])
 
@@ -125,10 +123,11 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [(True, t.lower().encode().split()) if self._plain(t) else (False, t.encode().split()) for t in texts]
-        lowered = self.lowered.known(words for plain, words in cuts if plain)
-        raw = self.raw.known(words for plain, words in cuts if not plain)
-        return [b"".join(map((lowered if plain else raw).__getitem__, words)) for plain, words in cuts]
+        plain = [self._plain(t) for t in texts]
+        cuts = [(self.cut_ascii if t.isascii() else self.cut)(t.lower()) if p else t.encode().split() for t, p in zip(texts, plain, strict=True)]
+        parts = self.parts.known(c for c, p in zip(cuts, plain, strict=True) if p)
+        raw = self.raw.known(c for c, p in zip(cuts, plain, strict=True) if not p)
+        return [b"".join(map((parts if p else raw).__getitem__, c)) for c, p in zip(cuts, plain, strict=True)]
 
     def _plain(self, text: str) -> bool:
         return "<|" not in text if text.isascii() else not self.odd(text)

@@ -97,7 +97,7 @@ def test_cache_that_overflows_changes_nothing():
     e = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     texts = [f"word{i} other{i}. third" for i in range(300)]
     want = e.encode(texts)
-    e.lowered.most = e.parts.most = 50
+    e.parts.most = 50
     assert [e.encode([t])[0] for t in texts] == want
 
 
@@ -126,3 +126,9 @@ def test_a_tokenizer_that_is_not_proved_encodes_whole_texts():
     texts = ["Hello World, this is it", "", "  two  spaces\n\nÉté <|endoftext|>"]
     assert not e.by_words and packing.WordEncoder(tokenizer_path("word_bpe_49k.json")).by_words
     assert [np.frombuffer(f, "<u4").tolist() for f in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_character_that_is_cut_here_is_cut_as_the_tokenizer_does():
+    texts = [s for c in map(chr, range(1, 0x300)) for s in (f"a{c}b", f"1{c}!", f"!{c}{c}", f" {c}")]
+    found = packing.WordEncoder(tokenizer_path("word_bpe_49k.json")).encode(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [x[:-1] for x in ids_of(texts)]
