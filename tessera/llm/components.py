@@ -38,6 +38,9 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     Alternates large and small stars, writing each round's edges, until they
     no longer change; then every edge points at its root.  After a given
     number of rounds instead, a root is some node that the links reach.
+
+    Defined cases: a link of a node to itself, a repeated link and one given both
+    ways say nothing new; a link with a null end is none; no links give no rows.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     if rounds:

@@ -12,6 +12,7 @@ from tessera.llm.common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document's tokens lies in sequences of 2048.  Nulls and repeats as in packing.pack()."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
@@ -30,6 +31,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text.  A null text has none; repeated rows are counted one by one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs).select(
         "doc_id",
@@ -40,6 +42,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL.  A null URL has neither host nor path and is judged by its features."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages).select(
         "page_id",
@@ -51,14 +54,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by links of near texts.  Nulls and repeated ids as in neardup.near_duplicates()."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and its edited text, and their likenesses.  Nulls and repeats as in fingerprints.py."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one hard one, formatted and read back.  Nulls and repeats as in chat.py."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(
@@ -71,11 +77,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document.  Nulls and repeats as in mixing.py."""
     docs = table(spark, sf_dir, "documents")
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document.  A null text has no words and fails."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -83,6 +91,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.  A null page has none."""
     pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 

@@ -93,3 +93,5 @@ def test_components(spark):
     want = {i: 0 for i in range(1, 51)} | {200: 100, 150: 100, 120: 100} | {i: 1000 for i in range(1001, 1200)}
     assert got == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    odd = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (None, 1), (3, None), (4, 4)], "u long, v long")
+    assert [tuple(r) for r in components(odd).collect()] == [(2, 1)]
