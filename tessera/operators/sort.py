@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tessera.operators.scan import numbered, prefix_sum
 
 
+#: Rows of a bracket of order statistics that one task may sum up.
+HELD = 1_000_000
+
+
 def ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
     """Adds each row's place from 0 in the ascending order of the whole table."""
     return numbered(df, keys, name=name)
@@ -45,10 +49,12 @@ def order_statistics(df: DataFrame, key: str, places: Sequence[int], accuracy: i
     value = F.col(key)
     above = [F.lit(True) if a == float("-inf") else value >= F.lit(a).cast(kind) for a, _ in brackets]
     upto = [F.lit(True) if b == float("inf") else value <= F.lit(b).cast(kind) for _, b in brackets]
-    below = df.agg(*[F.count_if(~c).alias(f"b{i}") for i, c in enumerate(above)]).first()
+    known_in = df.agg(*[F.count_if(~c) for c in above], *[F.count_if(a & b) for a, b in zip(above, upto, strict=True)]).first()
+    below, held = known_in[: len(known)], known_in[len(known) :]
     inside = F.array_compact(F.array(*[F.when(a & b, F.lit(i)) for i, (a, b) in enumerate(zip(above, upto, strict=True))]))
     counts = df.where(value.isNotNull()).select(F.explode(inside).alias("at"), value.alias("value")).groupBy("at", "value").agg(F.count("*").alias("n"))
-    summed = prefix_sum(counts, "n", ["value"], ["at"], spread=True, name="upto")
+    # a bracket is one window, or spread over all partitions if it holds too much for one
+    summed = prefix_sum(counts, "n", ["value"], ["at"], spread=max(held) > HELD, name="upto")
     goals = spark.createDataFrame([(p, i, p - nulls - below[i]) for p in wanted if p >= nulls for i in (known.index(p),)], "place long, at int, inside long")
     found = summed.join(F.broadcast(goals), "at").where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
     return found.select("place", "value").union(empty)

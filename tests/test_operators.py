@@ -202,7 +202,9 @@ def test_access_to_matrices(spark):
     assert {(r["m"], r["c"]): r["v"] for r in matrix.row_part(a, 1, 2, 2).collect()} == {(m, c): x[m][1, c] for m in x for c in (2, 3)}
 
 
-def test_order_statistics_with_nulls_and_hot_values(spark):
+@pytest.mark.parametrize("held", [10, 1_000_000])
+def test_order_statistics_with_nulls_and_hot_values(spark, monkeypatch, held):
+    monkeypatch.setattr(sort, "HELD", held)
     rng = np.random.default_rng(5)
     xs = [None] * 7 + [3.5] * 4000 + rng.normal(size=4000).tolist()
     df = spark.createDataFrame([(x,) for x in rng.permutation(np.array(xs, object)).tolist()], "x double").repartition(5)
