@@ -167,9 +167,10 @@ def _drawn(facts: DataFrame, groups: int, seed: int) -> DataFrame:
         for s, n in zip(shards["shard"], shards["n"], strict=True):
             got = _taken(left, int(n), rng)
             some = np.flatnonzero(got)
-            out.append(pd.DataFrame({"shard": np.full(len(some), s, "int32"), "source_id": ids[some], "first": first[some], "n": got[some]}))
+            out.append((np.full(len(some), s, "int64"), ids[some], first[some], got[some]))
             left, first = left - got, first + got
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("shard", "source_id", "first", "n")})
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [[]] * 4
+        return pd.DataFrame(dict(zip(("shard", "source_id", "first", "n"), columns, strict=True)))
 
     both = facts.select("group", "source_id", "slots").where("slots > 0").groupBy("group").cogroup(spark.createDataFrame(table).groupBy("group"))
     return both.applyInPandas(run, "shard int, source_id long, first long, n long")
