@@ -136,6 +136,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, near: int, of: int) -> DataFra
     The partners of a document are dealt to as many tasks as they fill; its own
     text goes to each of these once, not once a pair, and is read before theirs.
     """
+    pairs = written(pairs, "pairs")  # read twice
     parts = pairs.groupBy("u").agg(F.floor((F.count("*") + (PARTNERS - 1)) / PARTNERS).cast("int").alias("parts"))
     parts = written(parts, "partners")
     bodies = texts.select("id", "text")
